@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import blobs, over_texts, signed, texts
+from changeloom.llm.common import blobs, cut, over_texts, signed, texts
 
 
 def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -48,7 +48,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
     else:
         held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         shared = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("one").alias("n")).filter(F.col("n") >= min_docs)
-    hits = lines.join(shared.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc_id <> first")
+    # written first, so that the join's inputs are plain exchanges that can be split where a line is hot
+    hits = lines.join(cut(shared.select("h1", "h2", "first"), "shared-lines"), ["h1", "h2"]).filter("doc_id <> first")
     return hits.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("drop"))
 
 
