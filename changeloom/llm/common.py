@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +120,7 @@ def word_arrays(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     table = WordHashes()
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
-    flat = np.fromiter((table[w] for ws in words for w in ws), np.uint64, int(starts[-1]))
+    flat = np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.uint64, int(starts[-1]))
     return flat, starts
 
 

@@ -10,11 +10,13 @@ from changeloom.llm.common import read_table
 from changeloom.llm.decontaminate import find_contamination
 from changeloom.llm.license_scan import scan_licenses
 from changeloom.llm.line_dedup import dedup_lines
+from changeloom.llm.maxent_lm import score_texts
 from changeloom.llm.near_dedup import near_duplicates
 from changeloom.llm.pii import KINDS, find_pii, of_kind, told
 from changeloom.llm.piece_fst import encode_pieces
 from changeloom.llm.repetition import repetition_quality
 from changeloom.llm.sentence_spans import dedup_spans
+from changeloom.llm.substring_dedup import dedup_substrings
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents"), width=200).drop("spans")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,7 +68,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
+    "op5_maxent_lm": op5_maxent_lm,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_sentence_spans": op10_sentence_spans,

@@ -9,6 +9,8 @@ spans is the union of all maximal repeated substrings' occurrences. No shuffle."
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,7 +95,7 @@ def measure(batch: pa.RecordBatch, base_window: int, min_repeat: int) -> dict[st
     starts = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
     known = Ids()
-    flat = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(starts[-1]))
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(starts[-1]))
     doc = np.repeat(np.arange(len(raw)), np.diff(starts))
     best = longest_repeats(doc * (len(known) + 1) + flat)
     total = lambda x: np.add.reduceat(np.concatenate((x, [0])), starts[:-1]) * (np.diff(starts) > 0) if len(raw) else x
