@@ -84,7 +84,7 @@ class Head:
     def shares(self, tail: dict[int, int]) -> None:
         """tail: class -> sum of c + 1 over the words outside the head. A word
         never seen has a mass of 1, dealt over the tail classes."""
-        mass = np.bincount(self.classes, self.counts + 1, CLASSES)
+        mass = np.bincount(self.classes, self.counts + 1, CLASSES).astype(np.float64)
         for k, m in tail.items():
             mass[k] += m
         mass[SINGLES + BINS :] += 1 / (CLASSES - SINGLES - BINS)

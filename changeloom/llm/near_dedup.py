@@ -1,21 +1,24 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document becomes the set of its distinct word shingles and a signature of 65
-minima, 8 bits of each. Signatures are cut into 13 chunks of 5 symbols. Two
-signatures that differ in 25 symbols or fewer differ in at most one symbol of
-some chunk (pigeonhole: 13 chunks with two errors each need 26), so each chunk
-gives five keys, one for each symbol left out, and every such pair shares a key.
-At similarity 0.8 a signature differs in 13 symbols on average; more than 25 has
-a chance near 1e-4, and pairs up to `reach` symbols apart that share a key are
-looked at as well, so that a link is lost with a chance under 1e-6.
+A document becomes the set of its distinct word shingles and a signature of 84
+minima, 8 bits of each. Signatures are cut into 12 chunks of 7 symbols. Two
+signatures that differ in 23 symbols or fewer differ in at most one symbol of
+some chunk (pigeonhole: 12 chunks with two errors each need 24), so each chunk
+gives seven keys, one for each symbol left out, and every such pair shares a
+key. At similarity 0.8 a signature differs in 17 symbols on average. Pairs up to
+`reach` symbols apart that share a key are looked at as well, so that a link of
+that similarity is lost with a chance near 3e-5, and a closer one with less.
 
 Every link is confirmed on the full sets. Equal sets are one class from the
 start. Pairs within a group are never listed whole: members are first compared
-with the smallest member of their keys; only keys that still hold different
-components are then compared member by member, across components alone."""
+with the smallest member of their keys; in keys that then still hold different
+components, signatures are compared in blocks of bounded size inside the
+workers, across components alone, and only pairs within reach leave them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from changeloom.llm.common import blobs, cut, mix, ngrams, over_texts, texts, word_arrays
 from changeloom.llm.components import components
 
-CHUNKS, WIDTH = 13, 5
+CHUNKS, WIDTH = 12, 7
 SYMBOLS = CHUNKS * WIDTH
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -84,7 +87,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def chunk_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): 65 keys for each signature."""
+    """(key, id): a key for each symbol of each signature, which it leaves out."""
 
     def run(batches):
         for batch in batches:
@@ -105,17 +108,58 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
 
 
 def within(pairs: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in `reach` symbols or fewer."""
+    """(a, b, apart): pairs whose signatures differ in `reach` symbols or fewer."""
     one, two = reps.toDF("a", "sa"), reps.toDF("b", "sb")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1) <= reach
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near))
+                apart = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
+                out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(apart, pa.int32())], ["a", "b", "apart"])
+                yield out.filter(pa.array(apart <= reach))
+
+    return both.mapInArrow(run, "a long, b long, apart int")
+
+
+def near_in_keys(mixed: DataFrame, reps: DataFrame, reach: int, block: int) -> DataFrame:
+    """(a, b): pairs of one key, in different components and within reach.
+    mixed(key, id, component, n). A key of many members is dealt out as pairs of
+    blocks, so that a task holds two blocks at a time."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("id"), blocks).cast("int")).otherwise(0)
+    rows = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    rows = rows.join(reps, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def solve(part: list[tuple]) -> tuple[list[int], list[int]]:
+        ids, comps = np.array([r[0] for r in part]), np.array([r[5] for r in part])
+        side, sig = np.array([r[4] for r in part]), np.frombuffer(b"".join(r[6] for r in part), np.uint8).reshape(-1, SYMBOLS)
+        cross = part[0][2] != part[0][3]
+        a, b = [], []
+        for k in range(len(part) - 1):
+            later = np.flatnonzero((comps[k + 1 :] != comps[k]) & ((side[k + 1 :] != side[k]) | (not cross))) + k + 1
+            hits = later[(sig[later] != sig[k]).sum(axis=1) <= reach]
+            a += [int(ids[k])] * len(hits)
+            b += ids[hits].tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: list[tuple]) -> pa.RecordBatch:
+            a, b = solve(part)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[1:4] != held[-1][1:4]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.select("id", "key", "i", "j", "own", "component", "sig").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -137,7 +181,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * joint).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = 34, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| on their sets
@@ -153,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: i
     named = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
     reps = classes.select("id", "sig")
-    comps = _linked(source, reps, words, percent, reach)
+    comps = _linked(source, reps, words, percent, reach, block)
     placed = (
         sketch.join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left")
         .join(comps.withColumnRenamed("node", "id"), "id", "left")
@@ -162,31 +206,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: i
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach: int) -> DataFrame:
+def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach: int, block: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     keys = chunk_keys(reps)
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     members = cut(keys.join(cut(shared.select("key", "hub"), "shared-keys"), "key"), "members")
     # Round 1 and 2 look at (member, smallest member of its key).
-    spokes = members.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    spokes = members.filter("id <> hub").select("id", "hub").distinct()
     near = within(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), reps, reach)
     near = cut(near, "near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(sets_of(source, ends, words), "sets")
-    first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
+    first = cut(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "first")
     comps = components(confirmed(first, sets, percent))
-    rest = _apart(near.join(first, ["a", "b"], "left_anti"), comps)
+    rest = _apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), comps)
     comps = _joined(comps, _lifted(confirmed(rest, sets, percent), comps))
     # Round 3: keys whose members still lie in different components.
     at = _with_component(members.select("key", "hub", F.col("id").alias("node")), comps).withColumnRenamed("node", "id")
     at = cut(at, "placed")
-    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").select("key")
-    left = cut(at.filter("id <> hub").join(mixed, "key", "left_semi"), "mixed")
+    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").select("key", "n")
+    mixed = cut(mixed, "mixed-keys")
+    left = cut(at.join(mixed, "key").select("key", "id", "component", "n"), "mixed")
     if left.isEmpty():
         return comps
-    other = left.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    pairs = left.select("key", F.col("id").alias("a"), "component").join(other, "key").filter("component < other").select("a", "b").distinct()
-    near = cut(within(pairs, reps, reach), "near-rest")
+    near = cut(near_in_keys(left, reps, reach, block), "near-rest")
     if near.isEmpty():
         return comps
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
