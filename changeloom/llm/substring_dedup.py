@@ -36,7 +36,7 @@ from changeloom.llm.anchors import PART, rolling, runs
 from changeloom.llm.common import blobs, cut, over_texts, signed, texts
 
 #: Different runs of one anchor that one bucket sorts.
-BUCKET = 256
+BUCKET = 768
 _SECOND = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
