@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.canonical import seal
 from changeloom.operators import clones, detectors, history, rules, sourcecode
+from changeloom.sources.coverage import CANDIDATES
 
 RESULT_COLUMNS = ["engine_id", "family", "metric_id", "claim_id", "metric_class", "scope", "scope_label", "kind", "number", "flag", "said", "completeness", "tier", "deterministic", "regime_label"]
 
@@ -164,7 +165,7 @@ class ArtifactsEngine(Engine):
         from changeloom.operators.changes import match_paths, uncovered_lines
 
         cover = change.coverage.groupBy("report", "path", "line").agg(F.sum("hits").alias("hits"))
-        order = cover.select("report").distinct().withColumn("priority", F.xxhash64("report"))
+        order = cover.select("report").distinct().withColumn("priority", F.array_position(F.array(*map(F.lit, CANDIDATES)), F.col("report")))
         place = match_paths(change.changed_lines.select("path").distinct(), cover.select(F.col("path").alias("covered_path")))
         named = cover.join(order, "report").withColumnRenamed("path", "covered_path").join(place, "covered_path").select("path", "line", "hits", "priority")
         return uncovered_lines(change.changed_lines, named).select(*_row("artifacts.uncovered-changed-lines", F.col("path"), "count", F.col("uncovered")))

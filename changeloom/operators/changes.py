@@ -52,9 +52,8 @@ def deltas(head: DataFrame, base: DataFrame, value: str = "value", language: str
 
 def match_paths(wanted: DataFrame, known: DataFrame, path: str = "path", covered: str = "covered_path") -> DataFrame:
     """For each wanted path, the covered path that is equal, else the only one
-    that is its `/`-suffix or that it is a suffix of; null if none or several.
-    The suffix match is an equality join on exploded suffixes, not a theta join:
-    a path has a few of them."""
+    that ends in `/` and it; null if none or several do. The suffix match is an
+    equality join on exploded suffixes, not a theta join: a path has a few."""
     exact = known.select(F.col(covered).alias(path), F.col(covered).alias("__exact")).distinct()
     parts = F.split(F.col(covered), "/")
     tails = known.select(covered).distinct().select(

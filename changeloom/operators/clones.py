@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from changeloom.sources.tables import cut
+
 WINDOW, LEAST, OCCURRENCES = 25, 50, 32
 
 
@@ -122,16 +124,17 @@ def disjoint_groups(found: DataFrame) -> DataFrame:
 
 def connected(pairs: DataFrame, a: str = "file_a", b: str = "file_b") -> DataFrame:
     """(file, component): the smallest file reachable, by rounds of minima; each
-    round is persisted until none changes."""
+    round is written until none changes."""
     links = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    links = links.union(links.select("y", "x")).distinct().cache()
+    links = links.union(links.select("y", "x")).distinct()
+    links = cut(links, "file-links")
     label = links.select(F.col("x").alias("file")).distinct().withColumn("component", F.col("file"))
     while True:
         near = links.join(label, links.y == label.file).groupBy("x").agg(F.min("component").alias("near"))
-        new = label.join(near, label.file == near.x, "left").select("file", F.least("component", F.coalesce("near", "component")).alias("component"), (F.col("near") < F.col("component")).alias("moved")).cache()
-        moved = new.filter("moved").isEmpty()
+        new = label.join(near, label.file == near.x, "left").select("file", F.least("component", F.coalesce("near", "component")).alias("component"), (F.col("near") < F.col("component")).alias("moved"))
+        new = cut(new, "file-components")
         label = new.drop("moved")
-        if moved:
+        if new.filter("moved").isEmpty():
             return label
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from changeloom.sources.tables import cut
+
 
 def first_of_key(results: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key by `order`; the aggregation combines map-side."""
@@ -108,7 +110,7 @@ def ancestors(parents: DataFrame, start: DataFrame, rounds: int = 10_000) -> Dat
     known = frontier = start.select("oid").distinct()
     for _ in range(rounds):
         step = frontier.join(parents, "oid").select(F.col("parent").alias("oid")).distinct().join(known, "oid", "left_anti")
-        frontier = step.checkpoint() if parents.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.cache()
+        frontier = cut(step, "ancestors")
         if frontier.isEmpty():
             break
         known = known.union(frontier)

@@ -13,7 +13,7 @@ SCRIPTS = ["js", "cjs", "mjs", "ts", "mts", "cts"]
 #: File stems of tools. None: any syntax (dotfiles); `family`
 #: takes stem.variant.syntax too, where the syntax is no script.
 THRESHOLD_TOOLS: list[tuple[str, list[str] | None, bool]] = [
-    (".andon", None, False),
+    (".changeloom", None, False),
     ("tsconfig", ["json", "jsonc"], True),
     (".eslintrc", None, False),
     ("eslint.config", SCRIPTS, True),

@@ -214,3 +214,26 @@ def resolve_base(repo: str, candidates: list[str] = BASE_CANDIDATES) -> tuple[st
 
 def is_ancestor(repo: str, oid: str, of: str) -> bool:
     return subprocess.run(["git", "-C", repo, "merge-base", "--is-ancestor", oid, of], capture_output=True).returncode == 0
+
+
+def sync_notes(repo: str, ref: str, remote: str = "origin", attempts: int = 6, wait=None) -> int:
+    """Fetch, merge by union of lines, push; again after a growing delay where
+    the push is refused. The number of attempts used; an error when they run out."""
+    import time
+
+    from changeloom.functions.scalars import retry_delay_ms
+
+    full = ref if ref.startswith("refs/") else f"refs/notes/{ref}"
+    for attempt in range(1, attempts + 1):
+        try:
+            git(repo, "fetch", remote, f"+{full}:refs/notes/incoming")
+            git(repo, "notes", f"--ref={full}", "merge", "-s", "cat_sort_uniq", "refs/notes/incoming")
+        except subprocess.CalledProcessError as e:
+            if b"couldn't find remote ref" not in e.stderr:
+                raise
+        try:
+            git(repo, "push", remote, f"{full}:{full}")
+            return attempt
+        except subprocess.CalledProcessError:
+            (wait or time.sleep)(retry_delay_ms(attempt) / 1000)
+    raise RuntimeError(f"the push of {full} was refused {attempts} times")

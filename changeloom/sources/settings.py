@@ -80,3 +80,15 @@ def fixture_cases(spark: SparkSession, folder: str) -> DataFrame:
     head = rows.filter("side = 'head'").select("id", "file", F.col("content").alias("head"))
     kind = F.when(F.col("base").isNull(), "added").when(F.col("head").isNull(), "deleted").otherwise("modified")
     return base.join(head, ["id", "file"], "full_outer").select("id", F.col("file").alias("path"), F.lit(None).cast("string").alias("old_path"), kind.alias("kind"), "base", "head")
+
+
+def freeze_digest(folder: str) -> str:
+    """One digest over the sorted (path, length, bytes) of a folder's files: an
+    ordered fold, so it runs on the driver over a corpus of fixtures."""
+    import hashlib
+
+    out = hashlib.sha256()
+    for path in sorted(p for p in Path(folder).rglob("*") if p.is_file()):
+        raw = path.read_bytes()
+        out.update(f"{path.relative_to(folder).as_posix()}\0{len(raw)}\0".encode() + raw)
+    return out.hexdigest()

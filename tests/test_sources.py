@@ -122,3 +122,37 @@ def test_reports(spark):
     assert records.terminal_report(rows).splitlines()[0].startswith("high") and records.terminal_report(rows).splitlines()[-1].startswith("absent")
     row = records.redact(spark.createDataFrame([("/home/x/y and /home/x",)], "t string"), "t", ["/home/x", "/home/x/y"]).first()
     assert (row.t, row.redactions) == ("<redacted> and <redacted>", 2)
+
+
+def test_suite_runs(spark, tmp_path):
+    from changeloom.sources.suite import suite_results
+
+    rows = lambda command, limit=20: {r.metric_id: (r.kind, r.flag, r.said) for r in suite_results(spark, command, str(tmp_path), limit).collect()}
+    assert rows("true")["tests.suite-failure"] == ("flag", False, None)
+    assert rows("exit 3")["tests.suite-outcome"] == ("text", None, "exited 3")
+    assert rows("sleep 30", 0.3)["tests.suite-failure"] == ("text", None, "timed out")
+
+
+def test_notes_meet_over_a_remote(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", *a], check=True, capture_output=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+    run("init", "-q", "--bare", str(tmp_path / "hub"))
+    for name in ("one", "two"):
+        run("clone", "-q", str(tmp_path / "hub"), str(tmp_path / name))
+        for key in ("name", "email"):
+            run("-C", str(tmp_path / name), "config", f"user.{key}", "x")
+    run("-C", str(tmp_path / "one"), "commit", "-q", "--allow-empty", "-m", "c")
+    run("-C", str(tmp_path / "one"), "push", "-q", "origin", "HEAD:main")
+    run("-C", str(tmp_path / "two"), "pull", "-q", "origin", "main")
+    for name in ("one", "two"):
+        run("-C", str(tmp_path / name), "notes", "--ref=ledger", "add", "-m", f"line {name}", "HEAD")
+    assert git.sync_notes(str(tmp_path / "one"), "ledger") == 1
+    assert git.sync_notes(str(tmp_path / "two"), "ledger") == 1
+    assert {r.line for r in git.notes(spark, str(tmp_path / "two"), "ledger").collect()} == {"line one", "line two"}
+    assert {r.line for r in git.notes_history(spark, str(tmp_path / "two"), "ledger").collect()} == {"line one", "line two"}
+
+
+def test_frozen_folder(tmp_path):
+    (tmp_path / "a").write_text("x")
+    first = settings.freeze_digest(str(tmp_path))
+    (tmp_path / "a").write_text("y")
+    assert first != settings.freeze_digest(str(tmp_path))
