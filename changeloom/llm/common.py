@@ -3,8 +3,6 @@ shared work folder, word splitting and 64-bit hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -15,6 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeloom.sources.tables import cut, work_folder
+
+__all__ = ["BLANKS", "Ids", "WordHashes", "blobs", "cut", "mix", "ngrams", "over_texts", "read_table", "signed", "slices", "texts", "word_arrays", "work_folder"]
+
 #: The six ASCII blanks of every contract, `[\x20\x09-\x0D]`; bytes.split() and
 #: bytes.strip() without arguments use exactly this set.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -27,25 +29,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only
-    where the setting is absent (tests and local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="changeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage
-    ends there, and any executor can read every part after a loss."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that operators use, under fixed names, so that other
     columns of the input can have any name."""

@@ -27,6 +27,11 @@ HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("fi
 HIT_SQL = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
 
 
+def lowered(text: bytes) -> bytes:
+    """All letters in lower case, not A-Z alone."""
+    return text.decode("utf-8", "replace").lower().encode()
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of a against b with linear gaps: (score, end in a,
     end in b). One vector step for each word of a."""
@@ -51,7 +56,7 @@ class Items:
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
-            words = text.translate(WORDS).split()
+            words = lowered(text).translate(WORDS).split()
             if words:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)))
         held: Counter = Counter()
@@ -124,7 +129,7 @@ class Items:
     def word_ids(self, raw: list[bytes]) -> list[np.ndarray]:
         get, out = self.vocabulary.get, []
         for text in raw:
-            words = text.translate(WORDS).split()
+            words = lowered(text).translate(WORDS).split()
             out.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
         return out
 
