@@ -78,11 +78,12 @@ def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 8, id_col: str =
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.withColumns({"__k": F.col(id_col).cast("long"), "__t": F.xxhash64(text)}).join(drops, ["__k", "__t"], "left")
-    pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    count = F.size(pieces)
+    # a column of its own: inside the lambda below, an expression would be computed for each element
+    joined = joined.withColumn("__pieces", F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)))
+    pieces, count = F.col("__pieces"), F.size("__pieces")
     kept = F.when(
         F.col("__drop").isNotNull(),
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("__drop")), lambda i: F.get(pieces, i)), ""),
     ).otherwise(text)
     out = F.struct(count.cast("long").alias("n_sentences"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text"))
-    return joined.withColumn("spans", out).drop("__k", "__t", "__drop")
+    return joined.withColumn("spans", out).drop("__k", "__t", "__drop", "__pieces")
