@@ -67,7 +67,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     drops = dropped_lines(texts(docs, id_col, text_col), min_chars, min_docs).toDF("__k", "__t", "__drop")
     joined = docs.withColumns({"__k": F.col(id_col).cast("long"), "__t": F.xxhash64(text)}).join(drops, ["__k", "__t"], "left")
-    parts = F.split(text, "\n", -1)
+    # a column of its own: inside the lambda below, an expression would be computed for each element
+    joined = joined.withColumn("__parts", F.split(text, "\n", -1))
+    parts = F.col("__parts")
     kept = F.when(
         F.col("__drop").isNotNull(),
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop")), lambda i: F.get(parts, i)), "\n"),
@@ -77,5 +79,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("text"),
     )
-    return joined.withColumn("lines", lines).drop("__k", "__t", "__drop")
+    return joined.withColumn("lines", lines).drop("__k", "__t", "__drop", "__parts")
 
