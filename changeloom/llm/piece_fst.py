@@ -34,7 +34,7 @@ from changeloom.llm.common import blobs, over_texts, texts
 
 SPACE = "▁"
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Entries kept by each memo of a worker before it starts anew.
+#: Entries of a worker's memo before it starts anew; one older memo is kept.
 MEMO = 400_000
 
 
@@ -109,6 +109,7 @@ class PieceTransducer:
             self.cuts = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone or SPACE}]")
         self.worst = min(s for s, k in zip(self.scores, self.kinds, strict=True) if k == self.NORMAL) - 10.0
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.edges: dict = {}
         self.width = len(self.pieces)
@@ -277,14 +278,15 @@ class PieceTransducer:
         text = self.normalise(text)
         if self.cuts is None:
             return self.shortest(text)
-        memo, out = self.memo, []
+        memo, older, out = self.memo, self.older, []
         for stretch in self.cuts.findall(text):
             ids = memo.get(stretch)
             if ids is None:
-                ids = self.shortest(stretch)
+                ids = older.get(stretch) or self.shortest(stretch)
                 if len(stretch) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
+                    if len(memo) >= MEMO:  # what was not met since the last turn is forgotten
+                        self.older = older = memo
+                        self.memo = memo = {}
                     memo[stretch] = ids
             out += ids
         return out
