@@ -17,4 +17,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op2_line_dedup": OP2}
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS ps FROM documents),
+p AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM d),
+k AS (SELECT *, trim(regexp_replace(translate(piece, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key FROM p),
+w AS (SELECT doc_id, pos, key, len(string_split(key, ' ')) AS n FROM k WHERE key <> ''),
+r AS (SELECT doc_id, pos, count(*) OVER v AS size, last_value(pos) OVER v AS stop, string_agg(key, chr(10)) OVER v AS run, sum(n) OVER v AS n, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place
+  FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+f AS (SELECT *, row_number() OVER (PARTITION BY run, size ORDER BY doc_id, pos) AS turn FROM r WHERE n >= 8 AND (size = 3 OR (place = 1 AND total < 3))),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM f WHERE turn > 1),
+m AS (SELECT k.doc_id, count(*)::BIGINT AS n_sentences, count(g.pos)::BIGINT AS n_removed, string_agg(piece, '' ORDER BY k.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.pos = k.pos GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op10_sentence_spans": OP10}
