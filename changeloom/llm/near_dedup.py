@@ -86,31 +86,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
 
 
+def key_of(sig: np.ndarray, chunk: np.ndarray | int, gone: np.ndarray | int) -> np.ndarray:
+    """The key of each signature for a chunk with one symbol left out."""
+    rows = np.arange(len(sig))
+    chunk, gone = np.broadcast_to(chunk, len(sig)), np.broadcast_to(gone, len(sig))
+    h = (chunk * WIDTH + gone + 1).astype(np.uint64)
+    for k in range(WIDTH - 1):
+        at = k + (k >= gone)
+        h = (h << np.uint64(8)) | sig[rows, chunk * WIDTH + at]
+    return mix(h).view(np.int64)
+
+
 def chunk_keys(reps: DataFrame) -> DataFrame:
     """(key, id): a key for each symbol of each signature, which it leaves out."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = _matrix(batch.column(1)).astype(np.uint64)
-            ids = batch.column(0).to_numpy()
-            keys = []
-            for c in range(CHUNKS):
-                part = sig[:, c * WIDTH : (c + 1) * WIDTH]
-                for gone in range(WIDTH):
-                    h = np.full(len(part), c * WIDTH + gone + 1, np.uint64)
-                    for k in range(WIDTH):
-                        if k != gone:
-                            h = (h << np.uint64(8)) | part[:, k]
-                    keys.append(mix(h).view(np.int64))
+            sig, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            keys = [key_of(sig, c, gone) for c in range(CHUNKS) for gone in range(WIDTH)]
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "id": pa.array(np.tile(ids, SYMBOLS))})
 
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def within(pairs: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
-    """(a, b, apart): pairs whose signatures differ in `reach` symbols or fewer."""
-    one, two = reps.toDF("a", "sa"), reps.toDF("b", "sb")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+def within(pairs: DataFrame, reps: DataFrame, reach: int, percent: int) -> DataFrame:
+    """(a, b, apart): pairs whose signatures differ in `reach` symbols or fewer
+    and whose sizes allow the similarity."""
+    one, two = reps.toDF("a", "sa", "na"), reps.toDF("b", "sb", "nb")
+    both = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,44 +125,51 @@ def within(pairs: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, apart int")
 
 
-def near_in_keys(mixed: DataFrame, reps: DataFrame, reach: int, block: int) -> DataFrame:
-    """(a, b): pairs of one key, in different components and within reach.
-    mixed(key, id, component, n). A key of many members is dealt out as pairs of
-    blocks, so that a task holds two blocks at a time."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.when(blocks > 1, F.pmod(F.xxhash64("id"), blocks).cast("int")).otherwise(0)
-    rows = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+def near_in_keys(mixed: DataFrame, reps: DataFrame, reach: int, block: int, percent: int) -> DataFrame:
+    """(a, b): pairs of one key, in different components, within reach and of
+    sizes that allow the similarity; each pair from the first key that the two
+    share. mixed(key, id, component, members). A key of many members is dealt out
+    as pairs of blocks, so that a task holds two blocks at a time."""
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    few = mixed.filter(blocks == 1).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "id", "component")
+    many = mixed.filter(blocks > 1).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = few.union(many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component"))
     rows = rows.join(reps, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def solve(part: list[tuple]) -> tuple[list[int], list[int]]:
-        ids, comps = np.array([r[0] for r in part]), np.array([r[5] for r in part])
-        side, sig = np.array([r[4] for r in part]), np.frombuffer(b"".join(r[6] for r in part), np.uint8).reshape(-1, SYMBOLS)
-        cross = part[0][2] != part[0][3]
+    def solve(part: list[tuple]) -> pa.RecordBatch:
+        key, cross = part[0][0], part[0][1] != part[0][2]
+        side, ids, comps, size = (np.array([r[k] for r in part]) for k in (3, 4, 5, 7))
+        sig = np.frombuffer(b"".join(r[6] for r in part), np.uint8).reshape(-1, SYMBOLS)
         a, b = [], []
         for k in range(len(part) - 1):
-            later = np.flatnonzero((comps[k + 1 :] != comps[k]) & ((side[k + 1 :] != side[k]) | (not cross))) + k + 1
-            hits = later[(sig[later] != sig[k]).sum(axis=1) <= reach]
-            a += [int(ids[k])] * len(hits)
-            b += ids[hits].tolist()
-        return a, b
+            fits = (comps[k + 1 :] != comps[k]) & ((side[k + 1 :] != side[k]) | (not cross))
+            fits &= 100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k])
+            later = np.flatnonzero(fits) + k + 1
+            equal = sig[later] == sig[k]
+            near = equal.sum(axis=1) >= SYMBOLS - reach
+            later, equal = later[near], equal[near].reshape(-1, CHUNKS, WIDTH)
+            if not len(later):
+                continue
+            chunk = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+            gone = equal[np.arange(len(later)), chunk].argmin(axis=1)
+            later = later[key_of(sig[later], chunk, gone) == key]
+            a += [int(ids[k])] * len(later)
+            b += ids[later].tolist()
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: list[tuple]) -> pa.RecordBatch:
-            a, b = solve(part)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[1:4] != held[-1][1:4]:
-                    yield out(held)
+                if held and row[:3] != held[-1][:3]:
+                    yield solve(held)
                     held = []
                 held.append(row)
         if held:
-            yield out(held)
+            yield solve(held)
 
-    return rows.select("id", "key", "i", "j", "own", "component", "sig").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.select("key", "i", "j", "own", "id", "component", "sig", "n").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -181,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * joint).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = 34, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = 31, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| on their sets
@@ -196,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: i
     sketch = cut(sketches(source, words), "sketches")
     named = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
-    reps = classes.select("id", "sig")
+    reps = classes.select("id", "sig", "n")
     comps = _linked(source, reps, words, percent, reach, block)
     placed = (
         sketch.join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left")
@@ -213,7 +223,7 @@ def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach:
     members = cut(keys.join(cut(shared.select("key", "hub"), "shared-keys"), "key"), "members")
     # Round 1 and 2 look at (member, smallest member of its key).
     spokes = members.filter("id <> hub").select("id", "hub").distinct()
-    near = within(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), reps, reach)
+    near = within(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), reps, reach, percent)
     near = cut(near, "near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(sets_of(source, ends, words), "sets")
@@ -224,12 +234,13 @@ def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach:
     # Round 3: keys whose members still lie in different components.
     at = _with_component(members.select("key", "hub", F.col("id").alias("node")), comps).withColumnRenamed("node", "id")
     at = cut(at, "placed")
-    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").select("key", "n")
+    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high AND members > 2").select("key", "members")
     mixed = cut(mixed, "mixed-keys")
-    left = cut(at.join(mixed, "key").select("key", "id", "component", "n"), "mixed")
+    left = cut(at.join(mixed, "key").select("key", "id", "component", "members"), "mixed")
     if left.isEmpty():
         return comps
-    near = cut(near_in_keys(left, reps, reach, block), "near-rest")
+    seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = cut(near_in_keys(left, reps, reach, block, percent).join(seen, ["a", "b"], "left_anti"), "near-rest")
     if near.isEmpty():
         return comps
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
