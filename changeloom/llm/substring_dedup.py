@@ -16,7 +16,9 @@ equal windows have equal anchors, so:
    bytes a step; neighbours equal to the full width are repeats. An anchor with
    more than `bucket` different runs is dealt over several buckets;
 4. suffixes of such anchors without a partner in their own bucket are compared
-   across bucket boundaries by 128-bit fingerprints.
+   across bucket boundaries by 128-bit fingerprints: first the bytes that all
+   suffixes of a cell (eight neighbouring starts) share, then, in cells met
+   elsewhere, the suffixes themselves.
 
 Texts move twice: once to meet their runs, once (copies' holders only) to meet
 their spans."""
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from changeloom.llm.anchors import PART, rolling, runs
 from changeloom.llm.common import blobs, cut, over_texts, signed, texts
 
-#: Different runs of one anchor that one bucket sorts.
-BUCKET = 768
+#: Different runs of one anchor that one bucket sorts; starts in a cell.
+BUCKET, CELL = 768, 8
 _SECOND = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -114,7 +116,7 @@ def _open_runs(work: DataFrame, width: int, bucket: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(9))
+            out: tuple[list, ...] = tuple([] for _ in range(10))
             for doc_id, tid, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 for r in own:
@@ -123,24 +125,28 @@ def _open_runs(work: DataFrame, width: int, bucket: int) -> DataFrame:
                         places = rolling(np.frombuffer(part, np.uint8), PART).view(np.int64)
                         lead = int(np.flatnonzero(places == r["anchor"])[0])
                         buckets = -(-r["n_runs"] // bucket)
-                        row = (signed(int.from_bytes(part[lead : lead + 8], "big")), r["anchor"], (r["content"] >> 7) % buckets, buckets > 1, doc_id, tid, r["start"], r["known"], part)
+                        row = (signed(int.from_bytes(part[lead : lead + 8], "big")), r["anchor"], (r["content"] >> 7) % buckets, buckets > 1, doc_id, tid, r["start"], r["known"], part, lead)
                         for column, x in zip(out, row, strict=True):
                             column.append(x)
-            names = ("lead", "anchor", "bucket", "shared", "doc_id", "tid", "start", "known", "bytes")
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            names = ("lead", "anchor", "bucket", "shared", "doc_id", "tid", "start", "known", "bytes", "place")
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], list(names))
 
-    return work.select("doc_id", "tid", "text", "runs").mapInArrow(run, "lead long, anchor long, bucket int, shared boolean, doc_id long, tid long, start int, known boolean, bytes binary")
+    return work.select("doc_id", "tid", "text", "runs").mapInArrow(run, "lead long, anchor long, bucket int, shared boolean, doc_id long, tid long, start int, known boolean, bytes binary, place int")
+
+
+WINDOWS = pa.list_(pa.struct([("a", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64())]))
 
 
 def _sorted_buckets(opened: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tid, a, b, f1, f2): windows a..b-1 repeat; or, with a
-    fingerprint, window a awaits a partner in another bucket of its anchor
-    (doc_id null: it needs no answer itself)."""
+    """(doc_id, tid, a, b, g1, g2, windows): windows a..b-1 repeat; or, with a
+    cell's fingerprint g1, g2, its windows await a partner in another bucket of
+    their anchor (doc_id null: they need no answer themselves)."""
     parts = opened.repartitionByRange("lead", "anchor", "bucket").sortWithinPartitions("lead", "anchor", "bucket")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         data = b"".join(r[8] for r in rows)
+        raw = np.frombuffer(data, np.uint8)
         ends = np.cumsum([len(r[8]) for r in rows])
         starts = np.concatenate(([0], ends[:-1]))
         sizes = ends - starts - width + 1
@@ -150,40 +156,33 @@ def _sorted_buckets(opened: DataFrame, width: int) -> DataFrame:
         groups: dict = {}
         group = np.array([groups.setdefault(r[:3], len(groups)) for r in rows], np.int64)[own]
         found = repeated_suffixes(data, at, group, width)
-        known = np.array([r[7] for r in rows], bool)[own]
-        shared = np.array([r[3] for r in rows], bool)[own]
-        doc = np.array([r[4] for r in rows], np.int64)
-        tid = np.array([r[5] for r in rows], np.int64)
-        first = np.array([r[6] for r in rows], np.int64)
-        # a. repeats of runs that aren't known to repeat as a whole, as ranges of starts
-        hit = np.flatnonzero(found & ~known)
+        column = lambda k, kind: np.array([r[k] for r in rows], kind)
+        shared, doc, tid, first, known, place = (column(k, t) for k, t in ((3, bool), (4, np.int64), (5, np.int64), (6, np.int64), (7, bool), (9, np.int64)))
+        # Repeats of runs that aren't known to repeat as a whole, as ranges of starts.
+        hit = np.flatnonzero(found & ~known[own])
         new = np.concatenate(([True], (own[hit][1:] != own[hit][:-1]) | (hit[1:] != hit[:-1] + 1))) if len(hit) else np.zeros(0, bool)
         head = hit[new]
-        size = np.diff(np.concatenate((np.flatnonzero(new), [len(hit)])))
         a = first[own[head]] + inner[head]
-        # b. one of each window that other buckets of the anchor must know, and those that await an answer
-        ask = np.flatnonzero(shared & ~found & ~known)
-        say = np.flatnonzero(shared & (found | known))
-        both = np.concatenate((ask, say))
-        f1 = f2 = np.zeros(0, np.int64)
-        if len(both):
-            raw = np.frombuffer(data, np.uint8)
-            f1, f2 = rolling(raw, width)[at[both]].view(np.int64), rolling(raw, width, _SECOND)[at[both]].view(np.int64)
-            _, one = np.unique(np.stack((f1[len(ask) :], f2[len(ask) :]), 1), axis=0, return_index=True)
-            keep = np.concatenate((np.arange(len(ask)), len(ask) + one))
-            f1, f2 = f1[keep], f2[keep]
-            say = say[one]
-        blank, no = len(say), len(head)
-        return pa.RecordBatch.from_pydict(
-            {
-                "doc_id": pa.concat_arrays([pa.array(doc[own[head]]), pa.array(doc[own[ask]]), pa.nulls(blank, pa.int64())]),
-                "tid": pa.concat_arrays([pa.array(tid[own[head]]), pa.array(tid[own[ask]]), pa.nulls(blank, pa.int64())]),
-                "a": pa.concat_arrays([pa.array(a.astype(np.int32)), pa.array((first[own[ask]] + inner[ask]).astype(np.int32)), pa.nulls(blank, pa.int32())]),
-                "b": pa.concat_arrays([pa.array((a + size).astype(np.int32)), pa.array((first[own[ask]] + inner[ask] + 1).astype(np.int32)), pa.nulls(blank, pa.int32())]),
-                "f1": pa.concat_arrays([pa.nulls(no, pa.int64()), pa.array(f1)]),
-                "f2": pa.concat_arrays([pa.nulls(no, pa.int64()), pa.array(f2)]),
-            }
-        )
+        b = a + np.diff(np.concatenate((np.flatnonzero(new), [len(hit)])))
+        out = [(int(doc[o]), int(tid[o]), int(x), int(y), None, None, None) for o, x, y in zip(own[head], a, b, strict=True)]
+        # Windows without a partner here, and one of each that has one, by cells.
+        ask = np.flatnonzero(shared[own] & ~found & ~known[own])
+        say = np.flatnonzero(shared[own] & (found | known[own]))
+        if len(ask):
+            full = (rolling(raw, width).view(np.int64), rolling(raw, width, _SECOND).view(np.int64))
+            core = (rolling(raw, width - CELL + 1).view(np.int64), rolling(raw, width - CELL + 1, _SECOND).view(np.int64))
+            _, one = np.unique(np.stack((full[0][at[say]], full[1][at[say]]), 1), axis=0, return_index=True)
+            cells: dict[tuple, list] = {}
+            for mine, some in ((True, ask), (False, say[one])):
+                cell = (place[own[some]] - inner[some]) // CELL
+                spot = starts[own[some]] + place[own[some]] - CELL * cell  # where the cell's common bytes start
+                for o, x, p, q in zip(own[some].tolist(), inner[some].tolist(), at[some].tolist(), spot.tolist(), strict=True):
+                    key = (o if mine else None, int(core[0][q]), int(core[1][q]))
+                    cells.setdefault(key, []).append({"a": int(first[o]) + x, "f1": int(full[0][p]), "f2": int(full[1][p])})
+            out += [(None if o is None else int(doc[o]), None if o is None else int(tid[o]), None, None, g1, g2, windows) for (o, g1, g2), windows in cells.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), WINDOWS)
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "tid", "a", "b", "g1", "g2", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -196,7 +195,7 @@ def _sorted_buckets(opened: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return parts.mapInArrow(run, "doc_id long, tid long, a int, b int, f1 long, f2 long")
+    return parts.mapInArrow(run, "doc_id long, tid long, a int, b int, g1 long, g2 long, windows array<struct<a:int,f1:long,f2:long>>")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 200, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,10 +239,12 @@ def dedup_substrings(docs: DataFrame, width: int = 200, bucket: int = BUCKET, id
     holders = met.filter("runs IS NOT NULL")
     opened = cut(_open_runs(holders, width, bucket), "open-runs")
     found = cut(_sorted_buckets(opened, width), "sorted")
-    print_ = found.filter("f1 IS NOT NULL")
-    across = cut(print_.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f1", "f2"), "across")
-    late = print_.filter("doc_id IS NOT NULL").join(across, ["f1", "f2"]).select("doc_id", "tid", "a", "b")
-    spans = found.filter("f1 IS NULL").select("doc_id", "tid", "a", "b").union(late)
+    cells = found.filter("g1 IS NOT NULL")
+    met_cells = cut(cells.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g1", "g2"), "met-cells")
+    alive = cut(cells.join(met_cells, ["g1", "g2"]).select("doc_id", "tid", F.inline("windows")), "windows")
+    across = cut(alive.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f1", "f2"), "across")
+    late = alive.filter("doc_id IS NOT NULL").join(across, ["f1", "f2"]).select("doc_id", "tid", "a", (F.col("a") + 1).alias("b"))
+    spans = found.filter("g1 IS NULL").select("doc_id", "tid", "a", "b").union(late)
     spans = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     whole = F.transform(F.filter("runs", lambda r: r["known"]), lambda r: F.struct(r["start"].alias("a"), (r["start"] + r["size"]).alias("b")))
     both = holders.withColumn("known", whole).join(spans, ["doc_id", "tid"], "left")
