@@ -165,10 +165,11 @@ def _sorted_buckets(opened: DataFrame, width: int) -> DataFrame:
         a = first[own[head]] + inner[head]
         b = a + np.diff(np.concatenate((np.flatnonzero(new), [len(hit)])))
         out = [(int(doc[o]), int(tid[o]), int(x), int(y), None, None, None) for o, x, y in zip(own[head], a, b, strict=True)]
-        # Windows without a partner here, and one of each that has one, by cells.
+        # Windows without a partner here, and one of each that has one, by cells. Batches
+        # without the former tell the latter too: the partner may wait in another batch.
         ask = np.flatnonzero(shared[own] & ~found & ~known[own])
         say = np.flatnonzero(shared[own] & (found | known[own]))
-        if len(ask):
+        if len(ask) or len(say):
             full = (rolling(raw, width).view(np.int64), rolling(raw, width, _SECOND).view(np.int64))
             core = (rolling(raw, width - CELL + 1).view(np.int64), rolling(raw, width - CELL + 1, _SECOND).view(np.int64))
             _, one = np.unique(np.stack((full[0][at[say]], full[1][at[say]]), 1), axis=0, return_index=True)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from changeloom.llm.substring_dedup import dedup_substrings, repeated_suffixes
+from changeloom.llm.substring_dedup import _sorted_buckets, dedup_substrings, repeated_suffixes
 
 from .helpers import documents
 
@@ -55,6 +55,27 @@ def test_many_runs_at_one_anchor_over_small_buckets(spark):
     assert run(documents(spark, rows), width=60, bucket=3) == brute(rows, 60)
 
 
+def test_a_batch_of_copied_runs_tells_its_windows(spark):
+    rng = random.Random(8)
+    prose = lambda k: bytes(rng.choice(b"abcdef ") for _ in range(k))
+    common = prose(70)
+    kinds = "lead long, anchor long, bucket int, shared boolean, doc_id long, tid long, start int, known boolean, bytes binary, place int"
+    copied, lone = prose(12) + common, prose(10) + common
+    opened = spark.createDataFrame([(1, 1, 0, True, 1, 1, 0, True, copied, 22), (1, 1, 1, True, 2, 2, 0, False, lone, 20)], kinds)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}  # so that the two buckets are two batches
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = _sorted_buckets(opened, 60).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = {(r.g1, r.g2, w.f1, w.f2) for r in rows if r.doc_id is None for w in r.windows}
+    asked = {w.a: (r.g1, r.g2, w.f1, w.f2) for r in rows if r.doc_id == 2 for w in r.windows}
+    assert {a for a, key in asked.items() if key in told} == set(range(10, 21))
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     text = "".join(chr(97 + k * k % 23) for k in range(300))
     got = [(r.doc_id, r.n_removed) for r in dedup_substrings(documents(spark, [(1, text), (1, text), (None, text), (2, None)]), width=200).collect()]
