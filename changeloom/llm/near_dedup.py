@@ -1,13 +1,15 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document becomes the set of its distinct word shingles and a signature of 84
-minima, 8 bits of each. Signatures are cut into 12 chunks of 7 symbols. Two
-signatures that differ in 23 symbols or fewer differ in at most one symbol of
-some chunk (pigeonhole: 12 chunks with two errors each need 24), so each chunk
-gives seven keys, one for each symbol left out, and every such pair shares a
-key. At similarity 0.8 a signature differs in 17 symbols on average. Pairs up to
-`reach` symbols apart that share a key are looked at as well, so that a link of
-that similarity is lost with a chance near 3e-5, and a closer one with less.
+minima, 8 bits of each. Signatures are cut into 14 chunks of 6 symbols. Two
+signatures that differ in 27 symbols or fewer differ in at most one symbol of
+some chunk (pigeonhole: 14 chunks with two errors each need 28), so each chunk
+gives six keys, one for each symbol left out, and every such pair shares a key.
+At similarity 0.8 a signature differs in 17 symbols on average. Pairs up to
+`reach` symbols apart that share a key are looked at as well. A link of that
+similarity shares no key with a calculated chance of 3.1e-7 and is beyond the
+reach of 38 with 4e-8; it is lost with 3.5e-7 (`chance_lost`), a closer one with
+less.
 
 Every link is confirmed on the full sets. Equal sets are one class from the
 start. Pairs within a group are never listed whole: members are first compared
@@ -18,6 +20,7 @@ workers, across components alone, and only pairs within reach leave them."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,23 @@ from pyspark.sql import functions as F
 from changeloom.llm.common import blobs, cut, mix, ngrams, over_texts, texts, word_arrays
 from changeloom.llm.components import components
 
-CHUNKS, WIDTH = 12, 7
-SYMBOLS = CHUNKS * WIDTH
+CHUNKS, WIDTH = 14, 6
+SYMBOLS, REACH = CHUNKS * WIDTH, 38
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def chance_lost(similarity: float, reach: int = REACH) -> float:
+    """The calculated chance that a pair shares no key or is beyond reach."""
+    apart = (1 - similarity) * 255 / 256
+    chunk = np.array([comb(WIDTH, k) * apart**k * (1 - apart) ** (WIDTH - k) for k in range(WIDTH + 1)])
+    every, keyless = np.ones(1), np.ones(1)  # by the number of differing symbols
+    for _ in range(CHUNKS):
+        every, keyless = np.convolve(every, chunk), np.convolve(keyless, np.where(np.arange(WIDTH + 1) > 1, chunk, 0))
+    return float(every[reach + 1 :].sum() + keyless[: reach + 1].sum())
+
+
 def shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, concatenated, and the
     number for each text. A text of fewer words has one shingle, all of them."""
@@ -191,7 +204,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * joint).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = 31, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = REACH, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| on their sets

@@ -1,5 +1,5 @@
 from changeloom.llm.components import components
-from changeloom.llm.near_dedup import keep_first, near_duplicates
+from changeloom.llm.near_dedup import REACH, SYMBOLS, WIDTH, chance_lost, chunk_keys, keep_first, near_duplicates, within
 
 from .helpers import corpus, documents, lower, words
 
@@ -65,3 +65,20 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_are_hardly_ever_lost(spark):
+    assert chance_lost(0.8) < 1e-6 and chance_lost(0.9) < chance_lost(0.8)
+    # two signatures 27 symbols apart, two in a chunk where they fit, share a key; REACH apart they are looked at
+    one = bytes(SYMBOLS)
+    spread, far = bytearray(one), bytearray(one)
+    for k in range(27):
+        spread[k // 2 * WIDTH + k % 2] = 1
+    far[SYMBOLS - 38 :] = b"\1" * 38
+    reps = spark.createDataFrame([(1, bytearray(one), 9), (2, spread, 9), (3, far, 9)], "id long, sig binary, n long")
+    keys = {}
+    for r in chunk_keys(reps).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    assert keys[1] & keys[2] and keys[1] & keys[3]
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert sorted((r.b, r.apart) for r in within(pairs, reps, REACH, 80).collect()) == [(2, 27), (3, 38)]
