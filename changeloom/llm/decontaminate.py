@@ -1,5 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, then
-Smith-Waterman alignment scores edited copies.
+Smith-Waterman alignment scores edited copies. Found are alignments with a good
+share of an item, and passages of an item, however long it is, that are copied
+nearly word for word.
 
 The test items are the query set. They are read in blocks of a bounded number of
 seeds; each block travels to the workers (its size is checked while it is
@@ -23,6 +25,8 @@ from changeloom.llm.common import blobs, over_texts, slices, texts
 #: As in prose: letters, digits and all non-ASCII characters make words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MATCH, MISS, GAP = 2, -1, -1
+#: An excerpt is PASSAGE words of an item, with more equal words for each edit.
+PASSAGE, EDIT = 13, -3
 HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 HIT_SQL = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
 
@@ -32,22 +36,28 @@ def lowered(text: bytes) -> bytes:
     return text.decode("utf-8", "replace").lower().encode()
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, match: int = MATCH, miss: int = MISS, gap: int = GAP) -> tuple[int, int, int]:
     """Best local alignment of a against b with linear gaps: (score, end in a,
     end in b). One vector step for each word of a."""
     at = np.arange(len(b) + 1)
     row, best = np.zeros(len(b) + 1, np.int64), (0, 0, 0)
     for i, word in enumerate(a.tolist()):
         step = np.zeros(len(b) + 1, np.int64)
-        np.maximum(row[:-1] + np.where(b == word, MATCH, MISS), row[1:] + GAP, out=step[1:])
+        np.maximum(row[:-1] + np.where(b == word, match, miss), row[1:] + gap, out=step[1:])
         np.maximum(step, 0, out=step)
-        row = np.maximum.accumulate(step - GAP * at) + GAP * at  # gaps along b
+        row = np.maximum.accumulate(step - gap * at) + gap * at  # gaps along b
         k = int(row.argmax())
         if row[k] > best[0]:
             best = (int(row[k]), i + 1, k)
     return best
 
 
+def excerpt(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether b holds a passage of a: each edit takes as many words from its
+    length as -EDIT. Over 3 in 4 of its words are equal, whatever else fits."""
+    return align(a, b, 1, EDIT, EDIT)[0] >= PASSAGE
+
+
 class Items:
     """A block of test items: vocabulary, seeds and postings."""
 
@@ -105,7 +115,8 @@ class Items:
         return out
 
     def matches(self, ids: np.ndarray, least: float) -> list[dict]:
-        """Items whose alignment with some passage scores `least` or more."""
+        """Items whose alignment with some passage scores `least` or more, and
+        those of which the document holds an excerpt."""
         found = []
         for item, places in self.hits(ids).items():
             item_id, words = self.items[item]
@@ -118,7 +129,9 @@ class Items:
                 a, b = max(0, first - 2 * size), min(len(ids), place + 2 * size + self.n)
                 score, end_a, end_b = align(words, ids[a:b])
                 share = score / (MATCH * size)
-                if share >= least and (best is None or share > best["score"]):
+                # An excerpt scores MATCH * PASSAGE at least in the looser alignment too.
+                held = share >= least or (score >= MATCH * PASSAGE and excerpt(words, ids[a:b]))
+                if held and (best is None or share > best["score"]):
                     back = align(words[:end_a][::-1], ids[a : a + end_b][::-1])
                     best = {"item_id": item_id, "score": share, "first_word": a + end_b - back[2], "end_word": a + end_b}
                 first = after
@@ -163,8 +176,9 @@ def find_contamination(
     """A row for each row of docs: doc_id, contaminated, best_score, n_items,
     item_ids, hits (array of item_id, score, first word, end word).
 
-    The score is the alignment's share of the item's own full score. Defined
-    cases: null and empty texts or items match nothing; an item shorter than n
+    The score is the alignment's share of the item's own full score. A document
+    is contaminated from a share of `least` on, or by an excerpt of any share: 13
+    words of an item in a row, or more of them with single edits. Defined cases: null and empty texts or items match nothing; an item shorter than n
     words is its own seed; a null item_id is reported as null; equal rows give
     equal rows; without items no document is contaminated."""
     source, found = texts(docs, id_col, text_col), None

@@ -40,6 +40,22 @@ def test_exact_edited_and_clean(spark):
     assert sorted(r.doc_id for r in drop_contaminated(documents(spark, rows), items(spark, (9, ITEM))).collect()) == [3, 4, 5, 6]
 
 
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(6)
+    item = [f"w{rng.randrange(400)}" for _ in range(700)]
+    noise = [f"n{k}" for k in range(60)]
+    around = lambda part: " ".join([*noise, *part, *noise])
+    edited = item[200:230]
+    edited[10], edited[20:21] = "other", ["two", "words"]
+    scattered = [w for k in range(300, 390, 9) for w in (*item[k : k + 6], "x", "y", "z")]
+    rows = [(1, around(item[100:400])), (2, around(item[600:690])), (3, around(item[50:63])), (4, around(edited)), (5, around(item[50:61])), (6, around(scattered)), (7, around([]))]
+    table = items(spark, (1, " ".join(item)), (2, " ".join(item[500:])))
+    got = {r.doc_id: r for r in find_contamination(documents(spark, rows), table).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 3, 4}
+    assert 0.4 < got[1].best_score < 0.5 and got[2].item_ids == [1, 2]
+    assert sorted(r.doc_id for r in drop_contaminated(documents(spark, rows), table).collect()) == [5, 6, 7]
+
+
 def test_blocks_of_items_give_the_same(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) for _ in range(20)) for _ in range(12)]
