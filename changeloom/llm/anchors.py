@@ -11,7 +11,8 @@ import numpy as np
 
 from changeloom.llm.common import mix
 
-PART = 50
+#: Bytes of an anchor; bits of a place in a block, the rest are the hash's.
+PART, BITS = 50, 26
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,19 +48,24 @@ def runs(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray,
     if len(data) < width:
         return none, none, none, none.astype(np.uint64)
     h = rolling(data, PART)
-    bits = np.uint64(26)  # places; slices are far below 64 MB
-    least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    span, size = width - PART + 1, 1
-    while size * 2 <= span:
-        least = np.minimum(least[: len(least) - size], least[size:])
-        size *= 2
-    least = np.minimum(least[: len(data) - width + 1], least[span - size : span - size + len(data) - width + 1])
-    at = np.arange(len(least))
+    place = np.empty(len(data) - width + 1, np.int64)
+    span, block = width - PART + 1, 1 << BITS
+    for a in range(0, len(place), block - span + 1):  # hash and place in 64 bits; blocks overlap by a window
+        part = h[a : a + block]
+        least = (part >> np.uint64(BITS) << np.uint64(BITS)) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while size * 2 <= span:
+            least = np.minimum(least[: len(least) - size], least[size:])
+            size *= 2
+        n = len(part) - span + 1
+        least = np.minimum(least[:n], least[span - size : span - size + n])
+        place[a : a + n] = (least & np.uint64(block - 1)).astype(np.int64) + a
+    at = np.arange(len(place))
     doc = np.searchsorted(starts, at, "right") - 1
     valid = np.flatnonzero(at + width <= starts[doc + 1])
     if not len(valid):
         return none, none, none, none.astype(np.uint64)
-    place = (least[valid] & np.uint64((1 << 26) - 1)).astype(np.int64)
+    place = place[valid]
     new = np.concatenate(([True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1)))
     first = np.flatnonzero(new)
     return valid[first], np.diff(np.concatenate((first, [len(valid)]))), place[first], h[place[first]]

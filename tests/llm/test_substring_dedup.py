@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from changeloom.llm import anchors
 from changeloom.llm.substring_dedup import _sorted_buckets, dedup_substrings, repeated_suffixes
 
 from .helpers import documents
@@ -89,3 +90,14 @@ def test_multikey_sort_against_a_set():
     at, group = np.arange(380), np.array([rng.randrange(3) for _ in range(380)])
     seen = Counter((g, data[a : a + 13]) for a, g in zip(at.tolist(), group.tolist()))
     assert repeated_suffixes(data, at, group, 13).tolist() == [seen[g, data[a : a + 13]] > 1 for a, g in zip(at.tolist(), group.tolist())]
+
+
+def test_anchors_of_a_text_longer_than_a_block(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 103, 9000).astype(np.uint8)
+    starts = np.array([0, 7000, 9000])
+    whole = anchors.runs(data, starts, 200)
+    monkeypatch.setattr(anchors, "BITS", 10)
+    assert all((x == y).all() for x, y in zip(whole, anchors.runs(data, starts, 200), strict=True))
+    places = anchors.rolling(data, anchors.PART)
+    for first, _, place, anchor in zip(*whole, strict=True):
+        assert first <= place <= first + 150 and anchor == places[first : first + 151].min()
