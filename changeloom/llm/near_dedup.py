@@ -12,10 +12,18 @@ reach of 38 with 4e-8; it is lost with 3.5e-7 (`chance_lost`), a closer one with
 less.
 
 Every link is confirmed on the full sets. Equal sets are one class from the
-start. Pairs within a group are never listed whole: members are first compared
-with the smallest member of their keys; in keys that then still hold different
-components, signatures are compared in blocks of bounded size inside the
-workers, across components alone, and only pairs within reach leave them."""
+start. No step writes the pairs of a group:
+
+* In each key, signatures tell what can be linked, and only pairs that join it
+  come out (fewer than members). Their components are families; all links lie
+  within families.
+* A family is dealt into blocks of bounded shingles. A task holds a block with
+  its full sets, compares across what is not joined yet, and again only links
+  that join come out.
+* A family of several blocks is joined as far as the blocks go; documents outside
+  its largest component then meet every block. Documents that are compared by
+  such a block are rows for each block, so these grow with the product of the
+  outsiders and the family's shingles over `room`."""
 
 from __future__ import annotations
 
@@ -32,6 +40,8 @@ from changeloom.llm.components import components
 
 CHUNKS, WIDTH = 14, 6
 SYMBOLS, REACH = CHUNKS * WIDTH, 38
+#: Documents of a family that all its blocks see; it saves work, no result depends on it.
+COMMON = 64
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,89 +132,150 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def within(pairs: DataFrame, reps: DataFrame, reach: int, percent: int) -> DataFrame:
-    """(a, b, apart): pairs whose signatures differ in `reach` symbols or fewer
-    and whose sizes allow the similarity."""
-    one, two = reps.toDF("a", "sa", "na"), reps.toDF("b", "sb", "nb")
-    both = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+def overlaps(k: int, others: np.ndarray, flat: np.ndarray, ends: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many elements set k shares with each of the others. Set d is
+    flat[ends[d]:ends[d + 1]]; mark is all false and stays so."""
+    own = flat[ends[k] : ends[k + 1]]
+    mark[own] = True
+    sizes = ends[others + 1] - ends[others]
+    if 4 * int(sizes.sum()) > len(flat):
+        shared = np.add.reduceat(mark[flat], ends[:-1], dtype=np.int64)[others]
+    else:
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(ends[others] - starts, sizes)
+        shared = np.add.reduceat(mark[flat[at]], starts, dtype=np.int64)
+    mark[own] = False
+    return shared
+
+
+def forest(ids: np.ndarray, sig: np.ndarray, sets: pa.ListArray, reach: int, percent: int, label: np.ndarray | None = None, asks: np.ndarray | None = None) -> tuple[list, list]:
+    """Links that join what is linked among some documents, fewer than documents.
+    Compared are documents of different labels whose sizes and signatures allow
+    a link; with `asks`, one of the two is asking."""
+    ends = sets.offsets.to_numpy().astype(np.int64)
+    ends, values = ends - ends[0], sets.flatten().to_numpy()
+    sizes = np.diff(ends)
+    distinct, flat = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
+    label = np.arange(len(ids)) if label is None else label.copy()
+    a, b = [], []
+    for k in range(len(ids) - 1) if asks is None else np.flatnonzero(asks):
+        fits = (label != label[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+        if asks is None:
+            fits[:k] = False
+        others = np.flatnonzero(fits)
+        others = others[(sig[others] != sig[k]).sum(axis=1) <= reach]
+        if not len(others):
+            continue
+        shared = overlaps(k, others, flat, ends, mark)
+        for j in others[100 * shared >= percent * (sizes[k] + sizes[others] - shared)]:
+            if label[j] != label[k]:
+                a.append(int(ids[k]))
+                b.append(int(ids[j]))
+                label[label == label[j]] = label[k]
+    return a, b
+
+
+def near_in_keys(members: DataFrame, reps: DataFrame, reach: int, percent: int, block: int) -> DataFrame:
+    """(a, b): pairs that join, in each key, what signatures and sizes allow to be
+    linked, fewer than the key's members. members(key, hub, k, id); in a key of
+    over `block` members all are joined with the smallest without a look."""
+    many = members.filter((F.col("k") > block) & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    rows = members.filter(F.col("k") <= block).select("key", "id").join(reps, "id")
+    rows = rows.select("key", "id", "sig", "n").repartition(_parts(members), "key").sortWithinPartitions("key", "id")
+
+    def solve(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray) -> tuple[list, list]:
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(starts[1:], len(key))
+        hub = np.repeat(starts, ends - starts)
+        close = lambda i, j: ((sig[i] != sig[j]).sum(axis=1) <= reach) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        every = np.arange(len(key))
+        joined = close(every, hub)
+        spokes = np.flatnonzero(joined & (every != hub))
+        a, b = ids[spokes].tolist(), ids[hub[spokes]].tolist()
+        far = np.add.reduceat(~joined, starts, dtype=np.int64)
+        for g in np.flatnonzero((far > 0) & (ends - starts > 2)):
+            group = every[starts[g] : ends[g]]
+            label = np.where(joined[group], 0, np.arange(len(group)))
+            for k in np.flatnonzero(~joined[group]):
+                others = np.flatnonzero(label != label[k])
+                for j in others[close(np.full(len(others), group[k]), group[others])]:
+                    if label[j] != label[k]:
+                        a.append(int(ids[group[k]]))
+                        b.append(int(ids[group[j]]))
+                        label[label == label[j]] = label[k]
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                apart = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-                out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(apart, pa.int32())], ["a", "b", "apart"])
-                yield out.filter(pa.array(apart <= reach))
-
-    return both.mapInArrow(run, "a long, b long, apart int")
-
-
-def near_in_keys(mixed: DataFrame, reps: DataFrame, reach: int, block: int, percent: int) -> DataFrame:
-    """(a, b): pairs of one key, in different components, within reach and of
-    sizes that allow the similarity; each pair from the first key that the two
-    share. mixed(key, id, component, members). A key of many members is dealt out
-    as pairs of blocks, so that a task holds two blocks at a time."""
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    few = mixed.filter(blocks == 1).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "id", "component")
-    many = mixed.filter(blocks > 1).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = few.union(many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component"))
-    rows = rows.join(reps, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def solve(part: list[tuple]) -> pa.RecordBatch:
-        key, cross = part[0][0], part[0][1] != part[0][2]
-        side, ids, comps, size = (np.array([r[k] for r in part]) for k in (3, 4, 5, 7))
-        sig = np.frombuffer(b"".join(r[6] for r in part), np.uint8).reshape(-1, SYMBOLS)
-        a, b = [], []
-        for k in range(len(part) - 1):
-            fits = (comps[k + 1 :] != comps[k]) & ((side[k + 1 :] != side[k]) | (not cross))
-            fits &= 100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k])
-            later = np.flatnonzero(fits) + k + 1
-            equal = sig[later] == sig[k]
-            near = equal.sum(axis=1) >= SYMBOLS - reach
-            later, equal = later[near], equal[near].reshape(-1, CHUNKS, WIDTH)
-            if not len(later):
-                continue
-            chunk = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
-            gone = equal[np.arange(len(later)), chunk].argmin(axis=1)
-            later = later[key_of(sig[later], chunk, gone) == key]
-            a += [int(ids[k])] * len(later)
-            b += ids[later].tolist()
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[-1][:3]:
-                    yield solve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield solve(held)
-
-    found = rows.select("key", "i", "j", "own", "id", "component", "sig", "n").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents named by ids(doc_id)."""
-
-    def work(batch: pa.RecordBatch) -> dict:
+        for table in whole_groups(batches, 1):
+            key, ids, n = (table.column(c).to_numpy() for c in ("key", "id", "n"))
+            a, b = solve(key, ids, _matrix(table.column("sig")), n)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return many.union(rows.mapInArrow(run, "a long, b long"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows cut where the first `keys` columns change, so that
+    no group is divided; what is held is a batch and one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        old = [held[-1].column(k)[-1].as_py() for k in range(keys)] if held else None
+        if old is not None and any(c[0] != x for c, x in zip(columns, old, strict=True)):
+            yield pa.concat_batches(held)
+            held = []
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        if len(change):
+            at = int(change[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, at)])
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _parts(df: DataFrame) -> int:
+    """Partitions for work that its bytes do not tell the size of."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def links_in_blocks(source: DataFrame, dealt: DataFrame, words: int, reach: int, percent: int) -> DataFrame:
+    """(a, b): links confirmed on full sets that join what is linked in each
+    block. dealt(id, family, part, sig, label, ask) names the blocks (family,
+    part); label is null where each document stands alone."""
+    named = source.withColumnRenamed("doc_id", "id").join(dealt, "id").select("id", "text", "family", "part", "sig", "label", "ask")
+
+    def sets(batch: pa.RecordBatch) -> dict:
         h, sizes = shingle_sets(blobs(batch), words)
         ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        return {"id": batch.column(0), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))}
+        out = {name: batch.column(batch.schema.get_field_index(name)) for name in ("family", "part", "id", "sig", "label", "ask")}
+        return out | {"shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))}
 
-    return over_texts(docs.join(ids, "doc_id", "left_semi"), work, "id long, shingles array<long>", limit=1 << 20)
+    rows = over_texts(named, sets, "family long, part long, id long, sig binary, label long, ask boolean, shingles array<long>", limit=1 << 20)
+    rows = rows.repartition(_parts(source), "family", "part").sortWithinPartitions("family", "part", "id")
 
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    joint = F.size("x") + F.size("y") - F.col("shared")
-    return both.select("a", "b", "x", "y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * joint).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = REACH, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 2):
+            family, part = table.column("family").to_numpy(), table.column("part").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (part[1:] != part[:-1]))))
+            a, b = [], []
+            for x, y in zip(starts, [*starts[1:], len(family)], strict=True):
+                block = table.slice(int(x), int(y - x))
+                alone = block.column("label").null_count == block.num_rows
+                more = () if alone else (block.column("label").to_numpy(), block.column("ask").to_numpy(zero_copy_only=False))
+                one, two = forest(block.column("id").to_numpy(), _matrix(block.column("sig")), block.column("shingles"), reach, percent, *more)
+                a += one
+                b += two
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: int = REACH, block: int = 1024, room: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| on their sets
@@ -213,14 +284,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: i
     cases: without words a set is empty and linked with nothing; rows that share
     a doc_id are one document with several texts; a row without doc_id is linked
     with nothing, has no component and is kept; an empty table gives an empty
-    one. Work is in proportion to the links found, except where a key holds many
-    documents of different components: those are compared across components."""
+    one. A very long text is one set in one block, whatever `room` (shingles of a
+    block); `block` is the number of members up to which a key's signatures are
+    compared, beyond it all are of one family."""
     source = texts(docs, id_col, text_col)
     sketch = cut(sketches(source, words), "sketches")
     named = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
     reps = classes.select("id", "sig", "n")
-    comps = _linked(source, reps, words, percent, reach, block)
+    comps = _linked(source, reps, words, percent, reach, block, room)
     placed = (
         sketch.join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left")
         .join(comps.withColumnRenamed("node", "id"), "id", "left")
@@ -229,36 +301,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, reach: i
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach: int, block: int) -> DataFrame:
+def _linked(source: DataFrame, reps: DataFrame, words: int, percent: int, reach: int, block: int, room: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     keys = chunk_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
-    members = cut(keys.join(cut(shared.select("key", "hub"), "shared-keys"), "key"), "members")
-    # Round 1 and 2 look at (member, smallest member of its key).
-    spokes = members.filter("id <> hub").select("id", "hub").distinct()
-    near = within(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), reps, reach, percent)
-    near = cut(near, "near")
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(sets_of(source, ends, words), "sets")
-    first = cut(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "first")
-    comps = components(confirmed(first, sets, percent))
-    rest = _apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), comps)
-    comps = _joined(comps, _lifted(confirmed(rest, sets, percent), comps))
-    # Round 3: keys whose members still lie in different components.
-    at = _with_component(members.select("key", "hub", F.col("id").alias("node")), comps).withColumnRenamed("node", "id")
-    at = cut(at, "placed")
-    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high AND members > 2").select("key", "members")
-    mixed = cut(mixed, "mixed-keys")
-    left = cut(at.join(mixed, "key").select("key", "id", "component", "members"), "mixed")
-    if left.isEmpty():
+    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    members = cut(keys.join(cut(shared, "shared-keys"), "key"), "members")
+    families = cut(components(near_in_keys(members, reps, reach, percent, block)), "families")
+    families = families.union(families.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "family")
+    placed = cut(families.join(reps, "id"), "placed")
+    size = placed.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("n") / room).cast("int").alias("blocks"))
+    placed = cut(placed.join(cut(size, "family-sizes"), "family"), "sized")
+    # Each block alone, with a few documents of the family that all its blocks see.
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    alone = [F.lit(None).cast("long").alias("label"), F.lit(None).cast("boolean").alias("ask")]
+    common = placed.filter((F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("members")) < COMMON))
+    common = common.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(F.col("at") != own)
+    dealt = placed.select("id", "family", own.alias("part"), "sig", *alone).union(common.select("id", "family", F.col("at").cast("long"), "sig", *alone))
+    comps = components(links_in_blocks(source, dealt, words, reach, percent))
+    # Families of several blocks: documents outside the largest component meet every block.
+    wide = placed.filter("blocks > 1").withColumnRenamed("id", "node").join(comps, "node", "left")
+    wide = cut(wide.withColumn("label", F.coalesce("component", "node")).drop("component"), "wide")
+    counts = wide.groupBy("family", "label").agg(F.count(F.lit(1)).alias("held"))
+    main = cut(counts.groupBy("family").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("family", "main"), "main")
+    if main.isEmpty():
         return comps
-    seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = cut(near_in_keys(left, reps, reach, block, percent).join(seen, ["a", "b"], "left_anti"), "near-rest")
-    if near.isEmpty():
-        return comps
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(sets_of(source, ends, words), "sets-rest")
-    return _joined(comps, _lifted(confirmed(near, sets, percent), comps))
+    wide = cut(wide.join(main, "family").withColumn("ask", F.col("label") != F.col("main")), "asked")
+    asks = cut(wide.filter("ask").groupBy("family").agg(F.ceil(F.sum("n") / room).cast("int").alias("rounds")), "asks")
+    wide, own = wide.join(asks, "family"), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    turn = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rounds"))
+    columns = ["family", "sig", "label", "rounds"]
+    held = wide.select(F.col("node").alias("id"), *columns, own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("j"), F.lit(False).alias("ask"))
+    asking = wide.filter("ask").select(F.col("node").alias("id"), *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), turn.alias("j"), F.lit(True).alias("ask"))
+    dealt = held.union(asking).select("id", "family", (F.col("i") * F.col("rounds") + F.col("j")).alias("part"), "sig", "label", "ask")
+    return _joined(comps, _lifted(links_in_blocks(source, dealt, words, reach, percent), comps))
 
 
 def _with_component(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -271,20 +346,11 @@ def _lifted(links: DataFrame, comps: DataFrame) -> DataFrame:
     return _with_component(one, comps).select("a", F.col("component").alias("b")).filter("a <> b")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    one = _with_component(pairs.withColumn("node", F.col("a")), comps).select("a", "b", F.col("component").alias("ca"), F.col("b").alias("node"))
-    return _with_component(one, comps).filter("ca <> component").select("a", "b")
-
-
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links between components."""
-    links = cut(links, "lifted")
-    if links.isEmpty():
-        return comps
     more = cut(components(links), "merged")
     moved = comps.join(more.toDF("component", "later"), "component", "left").select("node", F.coalesce("later", "component").alias("component"))
-    return cut(moved.union(more.join(comps, "node", "left_anti")), "components")
+    return moved.union(more.join(comps, "node", "left_anti"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

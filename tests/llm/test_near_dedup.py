@@ -1,5 +1,7 @@
+import random
+
 from changeloom.llm.components import components
-from changeloom.llm.near_dedup import REACH, SYMBOLS, WIDTH, chance_lost, chunk_keys, keep_first, near_duplicates, within
+from changeloom.llm.near_dedup import REACH, SYMBOLS, WIDTH, chance_lost, chunk_keys, keep_first, near_duplicates, near_in_keys
 
 from .helpers import corpus, documents, lower, words
 
@@ -80,5 +82,42 @@ def test_links_are_hardly_ever_lost(spark):
     for r in chunk_keys(reps).collect():
         keys.setdefault(r.id, set()).add(r.key)
     assert keys[1] & keys[2] and keys[1] & keys[3]
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
-    assert sorted((r.b, r.apart) for r in within(pairs, reps, REACH, 80).collect()) == [(2, 27), (3, 38)]
+    shared = spark.createDataFrame([(9, 1, 3, k) for k in (1, 2, 3)], "key long, hub long, k long, id long")
+    for reach, found in ((REACH, {(2, 1), (3, 1)}), (37, {(2, 1)}), (26, set())):
+        assert {(r.a, r.b) for r in near_in_keys(shared, reps, reach, 80, 9).collect()} == found
+
+
+def alike(rng, shared, apart):
+    """Two texts of `shared` common words and `apart` others each in one place."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(shared)]
+    cut = rng.randrange(shared)
+    return [" ".join(words[:cut] + [f"x{rng.randrange(10**9)}" for _ in range(apart)] + words[cut:]) for _ in range(2)]
+
+
+def test_all_planted_pairs_are_linked(spark):
+    rng, rows = random.Random(4), []
+    for k in range(2000):  # similarities from 0.80 to 0.82
+        apart = rng.randrange(5, 20)
+        one, two = alike(rng, 2 + 8 * (apart + 1) + rng.randrange(-1, apart + 1), apart)
+        rows += [(2 * k, one), (2 * k + 1, two)]
+    s = sets(rows, 2)
+    linked = [k for k in range(2000) if 80 * len(s[2 * k] | s[2 * k + 1]) <= 100 * len(s[2 * k] & s[2 * k + 1])]
+    close = [k for k in linked if 100 * len(s[2 * k] & s[2 * k + 1]) <= 82 * len(s[2 * k] | s[2 * k + 1])]
+    got = run(documents(spark, rows), 2)
+    assert len(close) > 1000 and [k for k in range(2000) if got[2 * k + 1][1] == 2 * k] == linked
+
+
+def test_families_of_many_blocks(spark):
+    """Blocks of a few documents, hubs that hold nothing, lone members."""
+    rng, rows = random.Random(8), []
+    base = [f"v{k}" for k in range(60)]
+    for i in range(120):
+        words = base[:]
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows, 2, 80)
+    assert 5 < len({x[1] for x in want.values()}) < 110
+    for block, room in ((1024, 400), (8, 400), (8, 1 << 20)):
+        got = near_duplicates(documents(spark, rows), 2, 80, block=block, room=room).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
