@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from changeloom.sources.tables import cut, work_folder
 
-__all__ = ["BLANKS", "Ids", "WordHashes", "blobs", "cut", "mix", "ngrams", "over_texts", "read_table", "signed", "slices", "texts", "word_arrays", "work_folder"]
+__all__ = ["BLANKS", "Ids", "WordHashes", "blobs", "cut", "fresh", "mix", "ngrams", "over_texts", "read_table", "signed", "slices", "texts", "word_arrays", "work_folder"]
 
 #: The six ASCII blanks of every contract, `[\x20\x09-\x0D]`; bytes.split() and
 #: bytes.strip() without arguments use exactly this set.
@@ -35,6 +35,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of docs has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of text (one
     document at least), which bounds a worker's memory."""

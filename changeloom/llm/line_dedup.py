@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import blobs, cut, over_texts, signed, texts
+from changeloom.llm.common import blobs, cut, fresh, over_texts, signed, texts
 
 
 def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -53,7 +53,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
     return hits.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", out_col: str = "lines") -> DataFrame:
     """docs with one more column, the struct `lines` (n_lines, n_dropped, text):
     the text without lines that min_docs documents or more share, kept only in
     the smallest doc_id.
@@ -63,21 +63,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     min_chars code points always stay; a line repeated in one document only
     stays, each time; rows with equal doc_id are one holder; rows without doc_id
     lose nothing and do not count as holders; an empty table gives an empty one.
-    A column of the input named `lines` is replaced. Other columns pass."""
+    A very long text is one slice of its own. A column of the input named as
+    out_col is replaced. Other columns pass."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    drops = dropped_lines(texts(docs, id_col, text_col), min_chars, min_docs).toDF("__k", "__t", "__drop")
-    joined = docs.withColumns({"__k": F.col(id_col).cast("long"), "__t": F.xxhash64(text)}).join(drops, ["__k", "__t"], "left")
+    k, t, d, p = fresh(docs, "__k", "__t", "__drop", "__parts")
+    drops = dropped_lines(texts(docs, id_col, text_col), min_chars, min_docs).toDF(k, t, d)
+    joined = docs.withColumns({k: F.col(id_col).cast("long"), t: F.xxhash64(text)}).join(drops, [k, t], "left")
     # a column of its own: inside the lambda below, an expression would be computed for each element
-    joined = joined.withColumn("__parts", F.split(text, "\n", -1))
-    parts = F.col("__parts")
+    joined = joined.withColumn(p, F.split(text, "\n", -1))
+    parts, drop = F.col(p), F.col(d)
     kept = F.when(
-        F.col("__drop").isNotNull(),
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop")), lambda i: F.get(parts, i)), "\n"),
+        drop.isNotNull(),
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop), lambda i: F.get(parts, i)), "\n"),
     ).otherwise(text)
     lines = F.struct(
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("text"),
     )
-    return joined.withColumn("lines", lines).drop("__k", "__t", "__drop", "__parts")
-
+    return joined.withColumn(out_col, lines).drop(k, t, d, p)
