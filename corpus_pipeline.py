@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import cut, read_table
+from changeloom.llm.common import cut, fresh, read_table
 from changeloom.llm.decontaminate import drop_contaminated
 from changeloom.llm.line_dedup import dedup_lines
 from changeloom.llm.near_dedup import keep_first
@@ -23,10 +23,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that a document of smaller doc_id holds;
     n_chars follows the text."""
     columns = docs.columns
-    out = dedup_lines(docs)
-    changed = F.col("lines.n_dropped") > 0
-    out = out.withColumn("n_chars", F.when(changed, F.length("lines.text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("lines.text")).otherwise(F.col("text"))).select(*columns)
+    (lines,) = fresh(docs, "lines")
+    out, new = dedup_lines(docs, out_col=lines), F.col(f"{lines}.text")
+    changed = F.col(f"{lines}.n_dropped") > 0
+    out = out.withColumn("n_chars", F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.when(changed, new).otherwise(F.col("text"))).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
