@@ -1,27 +1,33 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The class factor is a
-softmax over a few dozen classes whose logits are the classes' log shares plus
-the weights of three hashed features: the last word, the last two words, and the
-word before the last alone (a skip feature). The word factor is the add-one
-estimate of the base score, renormalised in its class; so the model's score is
-the base score plus what the class factor gains over the classes' shares.
+P(word | history) = P(class | history) * P(group | class, history) * P(word | group).
+Classes are 12 single words, 12 bins of further frequent words and 8 of the rest;
+a class is dealt into 32 groups. Both trained factors are softmaxes over 32, whose
+logits are the log shares plus the weights of three hashed features: the last
+word, the last two words, and the word before the last alone (a skip feature); the
+inner factor's rows are hashed together with the class. Within a group the
+add-one estimate of the base score is renormalised; so the model's score is the
+base score plus what the trained factors gain over the shares.
 
 Counts cover all training documents and are a distributed table. Words frequent
 enough to be among the `head` (a bounded number, found from a histogram of the
 counts) are known to every worker; all other words meet their counts in a join.
-Weights are trained by rounds of distributed gradient updates: each task takes
-Adagrad steps over its share of all training documents from the common weights,
-and the weights are averaged row by row, by how often each task saw the row, and
-shrunk where all tasks together saw it rarely. The
-model's size is a parameter, and so is what the driver holds."""
+Texts are split into words twice: to be counted, and to become rows of 32-bit word
+codes, from which both training and scoring work.
+
+Training documents are dealt into shards by a hash of their id and text. Each
+shard takes Adagrad steps from the common weights; the changes are averaged row by
+row, by how often a shard saw the row, and shrunk where all shards together saw it
+rarely. Rows a template grow with the square root of the training tokens, as
+distinct words do, up to `most_rows`; a shard has 512 tokens a row, so that what
+shards send stays in proportion to the text. Neither depends on the cluster."""
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 from math import ceil, log10
 
 import numpy as np
@@ -30,13 +36,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import Ids, blobs, cut, mix, over_texts, signed, slices, texts
+from changeloom.llm.common import blobs, cut, mix, over_texts, signed, slices, texts
 
 #: Counted after the words of each text; no word holds a blank.
 END = b"\n"
 CLASSES, SINGLES, BINS = 32, 12, 12  # frequent words alone, bins of equal mass, and the rest by ending
-ROWS, TEMPLATES = 1 << 13, 3
+TAILS = CLASSES - SINGLES - BINS
+GROUPS, TEMPLATES, LEVELS = 32, 3, 2
+ROWS, GROWS_FROM = 1 << 13, 1 << 24  # rows a template, up to this number of tokens
 BATCH = 8192
+#: A code is an index into the head, or has this bit, 23 bits of a hash, the class
+#: (3 bits) and the group (5 bits).
+RARE = 1 << 31
+#: Distinct words that a counting worker holds.
+HELD = 200_000
+_ONES = np.ones(CLASSES, np.float32)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -55,21 +69,30 @@ def _training(batch: pa.RecordBatch) -> list[bytes]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the training documents."""
 
-    def work(batch: pa.RecordBatch) -> dict:
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()).cast(pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for words in _tokens(_training(batch)):
-            seen.update(words)
-        return {"word": pa.array(list(seen), pa.binary()).cast(pa.string()), "n": pa.array(seen.values(), pa.int64())}
+        for batch in slices(batches):
+            for words in _tokens(_training(batch)):
+                seen.update(words)
+            if len(seen) > HELD:
+                yield rows(seen)
+                seen = Counter()
+        yield rows(seen)
 
-    return over_texts(docs, work, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _tail_class(word: bytes) -> int:
-    return SINGLES + BINS + xxhash.xxh32_intdigest(word[-2:]) % (CLASSES - SINGLES - BINS)
+def _rare_code(word: bytes) -> int:
+    """The class of a rare word is told by its ending, its group by a hash."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return RARE | (h & 0x7FFFFF) << 8 | xxhash.xxh32_intdigest(word[-2:]) % TAILS << 5 | h >> 59
 
 
 class Head:
-    """The frequent words: counts and classes, and the classes' shares."""
+    """The frequent words: counts, classes and groups, and the shares of all."""
 
     def __init__(self, rows: list[tuple[str, int]], total: int, distinct: int):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
@@ -77,105 +100,226 @@ class Head:
         self.words = {w.encode(): k for k, (w, _) in enumerate(rows)}
         self.counts = np.array([c for _, c in rows], np.int64)
         rest = self.counts[SINGLES:]
-        bins = (np.cumsum(rest) - rest) * BINS // max(1, int(rest.sum())) if len(rest) else rest
-        self.classes = np.concatenate((np.arange(min(SINGLES, len(rows))), SINGLES + bins)).astype(np.int32)
-        self.share = np.zeros(CLASSES)
+        leaf = (np.cumsum(rest) - rest) * (BINS * GROUPS) // max(1, int(rest.sum())) if len(rest) else rest
+        self.leaves = np.concatenate((np.arange(min(SINGLES, len(rows))) * GROUPS, SINGLES * GROUPS + leaf)).astype(np.int64)
+        self.share, self.inner = np.zeros(CLASSES), np.zeros((CLASSES, GROUPS))
 
     def shares(self, tail: dict[int, int]) -> None:
-        """tail: class -> sum of c + 1 over the words outside the head. A word
+        """tail: leaf -> sum of c + 1 over the words outside the head. A word
         never seen has a mass of 1, dealt over the tail classes."""
-        mass = np.bincount(self.classes, self.counts + 1, CLASSES).astype(np.float64)
+        mass = np.bincount(self.leaves, self.counts + 1, CLASSES * GROUPS).astype(np.float64)
         for k, m in tail.items():
             mass[k] += m
-        mass[SINGLES + BINS :] += 1 / (CLASSES - SINGLES - BINS)
-        self.share = np.maximum(mass, 1e-9) / max(1, self.total + self.distinct + 1)
-
-
-def _slice(words: list[list[bytes]], head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of all tokens of a slice: head index (-1: none), class, features (tokens x
-    templates); the documents' starts; and the distinct words."""
-    ids = Ids()
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=starts[1:])
-    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, int(starts[-1]))
-    distinct = list(ids)
-    index = np.fromiter(map(head.words.get, distinct, repeat(-1)), np.int64, len(distinct))
-    classes = np.array([head.classes[k] if k >= 0 else _tail_class(w) for w, k in zip(distinct, index.tolist(), strict=True)], np.int64)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)[flat] if distinct else np.zeros(0, np.uint64)
-    before = np.full(len(flat), 1, np.uint64)
-    before[1:] = hashes[:-1]
-    before2 = np.full(len(flat), 2, np.uint64)
-    before2[2:] = hashes[:-2]
-    first = starts[:-1][np.diff(starts) > 0]
-    before[first], before2[first] = 1, 2
-    before2[first[np.diff(np.append(first, len(flat))) > 1] + 1] = 2
-    row = lambda x, k: (mix(x + np.uint64(k)) % np.uint64(ROWS)).astype(np.int64) + k * ROWS
-    features = np.stack((row(before, 0), row(before * np.uint64(3) + before2, 1), row(before2, 2)), 1)
-    return index[flat], classes[flat], features, starts, distinct
-
-
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]] + weights[features[:, 1]] + weights[features[:, 2]] + bias
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-
-def _step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray, rate: float) -> None:
+        mass[(SINGLES + BINS) * GROUPS :] += 1 / (TAILS * GROUPS)
+        mass = np.maximum(mass.reshape(CLASSES, GROUPS), 1e-9)
+        self.share = mass.sum(axis=1) / max(1, self.total + self.distinct + 1)
+        self.inner = mass / mass.sum(axis=1, keepdims=True)
+
+    def leaves_of(self, codes: np.ndarray) -> np.ndarray:
+        rare = codes >= RARE
+        out = (SINGLES + BINS) * GROUPS + (codes & np.uint32(0xFF)).astype(np.int64)
+        out[~rare] = self.leaves[codes[~rare]]
+        return out
+
+
+def _features(codes: np.ndarray, starts: np.ndarray, leaves: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The rows of each token: a (tokens x templates) array for each level."""
+    none = np.uint64(RARE - 1)  # before the first word; no head is that large
+    before, before2 = np.full(len(codes), none), np.full(len(codes), none)
+    before[1:], before2[2:] = codes[:-1], codes[:-2]
+    first = starts[:-1]  # each text has a token at least
+    before[first], before2[first] = none, none
+    before2[first[np.diff(starts) > 1] + 1] = none
+    words = [mix(before + np.uint64(1 << 32)), mix((before << np.uint64(32)) + before2), mix(before2 + np.uint64(1 << 33))]
+    classes = (leaves // GROUPS).astype(np.uint64) << np.uint64(7)
+    shift, kind = np.uint64(64 - (rows.bit_length() - 1)), np.uint16 if rows <= 1 << 16 else np.int64
+    outer = [(w >> shift).astype(kind) for w in words]
+    inner = [(mix(w + classes) >> shift).astype(kind) for w in words]
+    return [np.stack(outer), np.stack(inner)]
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """weights: (templates, rows, choices); bias: (choices) or (tokens, choices)."""
+    out = weights[0].take(features[0], axis=0)
+    for k in range(1, TEMPLATES):
+        out += weights[k].take(features[k], axis=0)
+    out += bias
+    return out
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, from each `first` up to the next. Most stretches
+    are short: those of four rows or fewer are added row by row, all at once."""
+    lengths = np.diff(np.append(first, len(values)))
+    total = values.take(first, axis=0)
+    for k in range(1, 4):
+        at = np.flatnonzero((lengths > k) & (lengths <= 4))
+        total[at] += values.take(first[at] + k, axis=0)
+    long = np.flatnonzero(lengths > 4)
+    if len(long):
+        ends = np.cumsum(lengths[long])
+        starts = ends - lengths[long]
+        rows = np.arange(ends[-1]) + np.repeat(first[long] - starts, lengths[long])
+        total[long] = np.add.reduceat(values.take(rows, axis=0), starts, axis=0)
+    return total
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, chosen: np.ndarray, rate: float) -> None:
     """One Adagrad update from a batch of tokens."""
-    gradient = np.exp(_log_softmax(weights, bias, features))
-    gradient[np.arange(len(classes)), classes] -= 1
+    gradient = np.exp(_logits(weights, bias, features))
+    gradient /= (gradient @ _ONES)[:, None]
+    gradient[np.arange(len(chosen)), chosen] -= 1
     for k in range(TEMPLATES):
-        column = features[:, k]
-        order = np.argsort(column)
-        column = column[order]
+        order = np.argsort(features[k], kind="stable")
+        column = features[k][order]
         first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        rows, total = column[first], np.add.reduceat(gradient[order], first, axis=0)
-        squares[rows] += np.einsum("ij,ij->i", total, total) / CLASSES
-        weights[rows] -= total * (rate / np.sqrt(squares[rows] + 1e-3))[:, None]
+        rows, total = column[first], _sums(gradient.take(order, axis=0), first)
+        squares[k, rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+        weights[k, rows] -= total * (rate / np.sqrt(squares[k, rows] + 1e-3))[:, None]
 
 
-def train(docs: DataFrame, head: Head, tokens: int, rounds: int = 1, rate: float = 0.1, shrink: float = 20.0, tokens_a_task: int = 2_000_000) -> np.ndarray:
-    """The weights after some rounds over all training documents."""
-    context = docs.sparkSession.sparkContext
-    tasks = max(1, min(ceil(tokens / tokens_a_task), 4 * context.defaultParallelism))
-    weights = np.zeros((TEMPLATES * ROWS, CLASSES), np.float32)
-    bias = np.log(head.share).astype(np.float32)
+def encoded(docs: DataFrame, known) -> DataFrame:
+    """(doc_id, tid, held_out, codes, rare, times): each text's word codes (32 bits
+    each) and its rare words with how often they occur in it."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        raw, head = blobs(batch), known.value.words
+
+        class Codes(dict):
+            def __missing__(self, word):
+                self[word] = code = head[word] if word in head else _rare_code(word)
+                return code
+
+        words = _tokens(raw)
+        every = list(chain.from_iterable(words))
+        codes = np.fromiter(map(Codes().__getitem__, every), np.uint32, len(every))
+        ends = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        at = np.flatnonzero(codes >= RARE)
+        cuts = np.searchsorted(at, ends)
+        rare = [Counter([every[i] for i in at[a:b].tolist()]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids, kept = batch.column(0).to_pylist(), codes.tobytes()
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32))
+        flat = pa.array(list(chain.from_iterable(rare)), pa.binary()).cast(pa.string())
+        return {
+            "doc_id": batch.column(0),
+            "tid": pa.array([signed(xxhash.xxh64_intdigest(t, seed=42)) for t in raw], pa.int64()),
+            "held_out": pa.array([held_out(d) for d in ids], pa.bool_()),
+            "codes": pa.array([kept[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
+            "rare": pa.ListArray.from_arrays(offsets, flat),
+            "times": pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(r.values() for r in rare)), pa.int32())),
+        }
+
+    return over_texts(docs, work, "doc_id long, tid long, held_out boolean, codes binary, rare array<string>, times array<int>")
+
+
+def _coded(batch: pa.RecordBatch, head: Head, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Codes, starts of the texts in them, leaves and features of a batch."""
+    raw = batch.column(batch.schema.get_field_index("codes")).to_pylist()
+    codes = np.frombuffer(b"".join(raw), np.uint32)
+    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int64)
+    leaves = head.leaves_of(codes)
+    return codes, starts, leaves, _features(codes, starts, leaves, rows)
+
+
+def model_rows(tokens: int, most_rows: int) -> int:
+    """Rows a template: a power of two that grows with the root of the tokens."""
+    rows = ROWS
+    while rows < most_rows and (rows * 2 // ROWS) ** 2 * GROWS_FROM <= tokens:
+        rows *= 2
+    return rows
+
+
+def train(coded: DataFrame, head: Head, rows: int, rounds: int = 1, rate: float = 0.1, shrink: float = 20.0) -> np.ndarray:
+    """The weights (levels, templates, rows, choices) after some rounds over all
+    training documents of coded(doc_id, tid, held_out, codes)."""
+    context = coded.sparkSession.sparkContext
+    shards = max(1, ceil(head.total / (512 * rows)))
+    dealt = coded.filter("NOT held_out").select(F.pmod(F.xxhash64("doc_id", "tid", F.lit(5)), F.lit(shards)).alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tid", "codes")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "tid")
+    weights = np.zeros((LEVELS, TEMPLATES, rows, CLASSES), np.float32)
+    bias, inner = np.log(head.share).astype(np.float32), np.log(head.inner).astype(np.float32)
     known = context.broadcast(head)  # a bounded number of words
     for _ in range(rounds):
         common = context.broadcast(weights)  # of the model's size
 
         def learn(batches: Iterator[pa.RecordBatch], common=common) -> Iterator[pa.RecordBatch]:
-            own, seen = common.value.copy(), np.zeros(TEMPLATES * ROWS, np.int64)
-            squares = np.zeros(TEMPLATES * ROWS, np.float32)
-            for batch in slices(batches, limit=1 << 20):
-                _, classes, features, _, _ = _slice(_tokens(_training(batch)), known.value)
-                seen += np.bincount(features.ravel(), minlength=len(seen))
-                for a in range(0, len(classes), BATCH):
-                    _step(own, squares, bias, features[a : a + BATCH], classes[a : a + BATCH], rate)
-            touched = np.flatnonzero(seen)
-            for a in range(0, len(touched), 4096):
-                rows = touched[a : a + 4096]
-                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "n": pa.array(seen[rows]), "w": pa.array([x.tobytes() for x in own[rows]], pa.binary())})
+            own = squares = seen = shard = None
+
+            def told() -> Iterator[pa.RecordBatch]:
+                flat, was = own.reshape(-1, CLASSES), common.value.reshape(-1, CLASSES)
+                touched = np.flatnonzero(seen)
+                for a in range(0, len(touched), 4096):
+                    at = touched[a : a + 4096]
+                    change = (flat[at] - was[at]).astype(np.float16)
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(at, pa.int32()), "n": pa.array(seen.ravel()[at]), "w": pa.array([x.tobytes() for x in change], pa.binary())})
+
+            for batch in by_shard(slices(batches, "codes", 1 << 20)):
+                if batch.column(0)[0].as_py() != shard:
+                    if shard is not None:
+                        yield from told()
+                    shard, own = batch.column(0)[0].as_py(), common.value.copy()
+                    squares, seen = np.zeros(own.shape[:3], np.float32), np.zeros(own.shape[:3], np.int64)
+                _, _, leaves, features = _coded(batch, known.value, rows)
+                classes, groups = leaves // GROUPS, leaves % GROUPS
+                some = np.flatnonzero(classes >= SINGLES)  # a single word has no groups
+                for level, (choice, at) in enumerate(((classes, slice(None)), (groups, some))):
+                    f, chosen, of = features[level][:, at], choice[at], classes[at]
+                    for k in range(TEMPLATES):
+                        seen[level, k] += np.bincount(f[k], minlength=rows)
+                    for a in range(0, len(chosen), BATCH):
+                        part = slice(a, a + BATCH)
+                        _step(own[level], squares[level], inner[of[part]] if level else bias, f[:, part], chosen[part], rate)
+            if shard is not None:
+                yield from told()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                rows, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                w = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, CLASSES)
+                at, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                w = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, CLASSES)
                 both = np.concatenate((w.astype(np.float64) * n[:, None], n[:, None]), axis=1)
-                for row, x in zip(rows.tolist(), both, strict=True):
+                for row, x in zip(at.tolist(), both, strict=True):
                     total[row] = total[row] + x if row in total else x
             if total:
                 means = [(x[:-1] / (x[-1] + shrink)).astype(np.float32).tobytes() for x in total.values()]
                 yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "w": pa.array(means, pa.binary())})
 
-        learned = docs.coalesce(tasks).mapInArrow(learn, "row int, n long, w binary")
+        learned = dealt.mapInArrow(learn, "row int, n long, w binary")
         weights = weights.copy()
+        flat = weights.reshape(-1, CLASSES)
         for row in learned.repartition("row").mapInArrow(average, "row int, w binary").toLocalIterator():
-            weights[row.row] = np.frombuffer(row.w, np.float32)
+            flat[row.row] += np.frombuffer(row.w, np.float32)
+        np.clip(weights, -20, 20, out=weights)  # exponentials stay finite
     return weights
 
 
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one shard each (the first column)."""
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+            yield batch.slice(int(a), int(b - a))
+
+
+def gains(batch: pa.RecordBatch, head: Head, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, starts, and for each token what the model's log10 probability is
+    above the base's."""
+    codes, starts, leaves, features = _coded(batch, head, weights.shape[2])
+    classes, groups = leaves // GROUPS, leaves % GROUPS
+    bias, inner = np.log(head.share).astype(np.float32), np.log(head.inner).astype(np.float32)
+    gain = np.zeros(len(codes))
+    some = np.flatnonzero(classes >= SINGLES)
+    for level, (choice, at) in enumerate(((classes, np.arange(len(codes))), (groups, some))):
+        for a in range(0, len(at), BATCH):
+            part = at[a : a + BATCH]
+            own = inner[classes[part]] if level else bias
+            logits = _logits(weights[level], own, features[level][:, part])
+            every, chosen = np.arange(len(part)), choice[part]
+            gain[part] += logits[every, chosen] - np.log(np.exp(logits) @ _ONES) - (own[every, chosen] if level else own[chosen])
+    return codes, starts, gain / np.log(10)
+
+
 def find_head(counts: DataFrame, most: int) -> Head:
     """The words with counts over a bound that leaves `most` of them at most. The
     bound comes from a histogram of counts in steps of a sixteenth of a power of
@@ -196,7 +340,7 @@ def find_head(counts: DataFrame, most: int) -> Head:
         mass: Counter = Counter()
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mass[_tail_class(word.encode())] += c + 1
+                mass[(SINGLES + BINS) * GROUPS + (_rare_code(word.encode()) & 0xFF)] += c + 1
         yield pa.RecordBatch.from_pydict({"k": pa.array(mass.keys(), pa.int32()), "m": pa.array(mass.values(), pa.int64())})
 
     masses = tail.select("word", "c").mapInArrow(classed, "k int, m long").groupBy("k").agg(F.sum("m").alias("m")).collect()
@@ -204,65 +348,40 @@ def find_head(counts: DataFrame, most: int) -> Head:
     return head
 
 
-def score_texts(docs: DataFrame, head_words: int = 1 << 18, rounds: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, head_words: int = 1 << 18, rounds: int = 1, rate: float = 0.1, most_rows: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score; scores are log10 probabilities.
 
     The model learns from documents whose crc32(doc_id as text) modulo 7 is not
     2. Defined cases: a null or empty text is the end token alone; a null doc_id
     reads as '' and is for training; equal rows count each time; without
-    training documents every token is unknown; an empty table gives an empty
-    one."""
+    training documents every token is unknown; a very long text is one slice of
+    its own; an empty table gives an empty one."""
     source = texts(docs, id_col, text_col)
     counts = cut(word_counts(source), "word-counts")
     head = find_head(counts, head_words)
-    weights = train(source, head, head.total, rounds, rate)
     context = docs.sparkSession.sparkContext
-    known, model = context.broadcast(head), context.broadcast(weights)
-    tid = lambda text: signed(xxhash.xxh64_intdigest(text, seed=42))
-
-    def score(batch: pa.RecordBatch) -> dict:
-        head, raw = known.value, blobs(batch)
-        index, classes, features, starts, _ = _slice(_tokens(raw), head)
-        bias = np.log(head.share).astype(np.float32)
-        gain = np.zeros(len(classes))
-        for a in range(0, len(classes), BATCH):
-            part = slice(a, a + BATCH)
-            gain[part] = _log_softmax(model.value, bias, features[part])[np.arange(len(classes[part])), classes[part]]
-        gain = (gain - np.log(head.share)[classes]) / np.log(10)
-        inside = index >= 0
-        logs = np.where(inside, np.log10(head.counts[index] + 1.0), 0.0) if len(head.counts) else np.zeros(len(index))
-        sums = lambda x: np.add.reduceat(x, starts[:-1])
-        ids = batch.column(0).to_pylist()
-        return {
-            "doc_id": batch.column(0),
-            "tid": pa.array([tid(t) for t in raw], pa.int64()),
-            "held_out": pa.array([held_out(d) for d in ids], pa.bool_()),
-            "n_tokens": pa.array(np.diff(starts)),
-            "n_head": pa.array(sums(inside.astype(np.int64))),
-            "head_logs": pa.array(sums(logs)),
-            "gain": pa.array(sums(gain)),
-        }
-
-    def tail(batch: pa.RecordBatch) -> dict:
-        words = known.value.words
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), blobs(batch), strict=True):
-            rare = Counter(w for w in text.lower().split() if w not in words)
-            if END not in words:
-                rare[END] += 1
-            out[0].extend([doc_id] * len(rare))
-            out[1].extend([tid(text)] * len(rare))
-            out[2].extend(rare.keys())
-            out[3].extend(rare.values())
-        return {"doc_id": pa.array(out[0], pa.int64()), "tid": pa.array(out[1], pa.int64()), "word": pa.array(out[2], pa.binary()).cast(pa.string()), "n": pa.array(out[3], pa.int32())}
-
+    known = context.broadcast(head)
+    coded = cut(encoded(source, known), "coded")
+    model = context.broadcast(train(coded, head, model_rows(head.total, most_rows), rounds, rate))
     smallest = F.lit(-(1 << 63)).cast("long")  # stands for a null id in joins
-    whole = over_texts(source, score, "doc_id long, tid long, held_out boolean, n_tokens long, n_head long, head_logs double, gain double", limit=1 << 20)
-    whole = cut(whole.withColumn("k", F.coalesce("doc_id", smallest)), "scored")
-    copies = whole.groupBy("k", "tid").agg(F.count(F.lit(1)).alias("copies"))  # equal rows; their sums come together
-    rare = over_texts(source, tail, "doc_id long, tid long, word string, n int", limit=1 << 20)
-    met = rare.join(counts, "word").withColumn("k", F.coalesce("doc_id", smallest))
+    keyed = coded.withColumn("k", F.coalesce("doc_id", smallest))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = known.value
+        for batch in slices(batches, "codes", 1 << 20):
+            codes, starts, gain = gains(batch, head, model.value)
+            inside = codes < RARE
+            logs = np.zeros(len(codes))
+            logs[inside] = np.log10(head.counts[codes[inside]] + 1.0)
+            sums = lambda x, at=starts[:-1]: pa.array(np.add.reduceat(x, at))
+            own = {name: batch.column(k) for k, name in enumerate(("doc_id", "k", "tid", "held_out"))}
+            yield pa.RecordBatch.from_pydict(own | {"n_tokens": pa.array(np.diff(starts)), "n_head": sums(inside.astype(np.int64)), "head_logs": sums(logs), "gain": sums(gain)})
+
+    whole = keyed.select("doc_id", "k", "tid", "held_out", "codes").mapInArrow(score, "doc_id long, k long, tid long, held_out boolean, n_tokens long, n_head long, head_logs double, gain double")
+    rare = keyed.select("k", "tid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("k", "tid", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
+    copies = keyed.groupBy("k", "tid").agg(F.count(F.lit(1)).alias("copies"))  # equal rows; their sums come together
+    met = rare.join(counts, "word")
     sums = met.groupBy("k", "tid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("n"))
     sums = sums.join(copies, ["k", "tid"]).select("k", "tid", (F.col("logs") / F.col("copies")).alias("logs"), (F.col("n") / F.col("copies")).cast("long").alias("n_rare"))
     joined = whole.join(sums, ["k", "tid"], "left")
