@@ -234,8 +234,8 @@ def train(coded: DataFrame, head: Head, rows: int, rounds: int = 1, rate: float
     training documents of coded(doc_id, tid, held_out, codes)."""
     context = coded.sparkSession.sparkContext
     shards = max(1, ceil(head.total / (512 * rows)))
-    dealt = coded.filter("NOT held_out").select(F.pmod(F.xxhash64("doc_id", "tid", F.lit(5)), F.lit(shards)).alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tid", "codes")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "tid")
+    dealt = coded.filter("NOT held_out").select(F.pmod(F.xxhash64("doc_id", "tid", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tid", "codes")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tid")
     weights = np.zeros((LEVELS, TEMPLATES, rows, CLASSES), np.float32)
     bias, inner = np.log(head.share).astype(np.float32), np.log(head.inner).astype(np.float32)
     known = context.broadcast(head)  # a bounded number of words

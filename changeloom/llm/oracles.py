@@ -23,7 +23,7 @@ p AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM d),
 k AS (SELECT *, trim(regexp_replace(translate(piece, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key FROM p),
 w AS (SELECT doc_id, pos, key, len(string_split(key, ' ')) AS n FROM k WHERE key <> ''),
 c AS (SELECT doc_id, pos, n, row_number() OVER v AS place, sum(n) OVER v AS words, count(*) OVER (PARTITION BY doc_id) AS total FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
-t AS (SELECT a.doc_id, a.place, a.pos, greatest(a.words - a.n + 20, b.words) AS goal FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.place = a.place + least(2, a.total) - 1),
+t AS (SELECT a.doc_id, a.place, a.pos, least(greatest(a.words - a.n + 20, coalesce(b.words, a.words + 40)), a.words - a.n + 40) AS goal FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.place = a.place + least(2, a.total) - 1),
 e AS (SELECT t.doc_id, t.place, t.pos, min(c.place) AS final FROM t JOIN c ON c.doc_id = t.doc_id AND c.words >= t.goal GROUP BY ALL),
 l AS (SELECT doc_id, list(key ORDER BY pos) AS ks, list(pos ORDER BY pos) AS places FROM w GROUP BY doc_id),
 f AS (SELECT doc_id, pos, places[final] AS stop, row_number() OVER (PARTITION BY array_to_string(ks[place:final], chr(10)) ORDER BY doc_id, pos) AS turn FROM e JOIN l USING (doc_id)),

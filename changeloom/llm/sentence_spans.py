@@ -25,7 +25,7 @@ SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 _SENTENCE = re.compile(SENTENCE.encode())
 
 
-def span_keys(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+def span_keys(docs: DataFrame, run: int, min_words: int, alone: int) -> DataFrame:
     """(doc_id, tid, pos, size, h1, h2): a row for each run. pos is the piece
     where it starts, size the number of pieces up to its end (pieces without a
     word are passed over)."""
@@ -40,12 +40,12 @@ def span_keys(docs: DataFrame, run: int, min_words: int) -> DataFrame:
             keys = [b" ".join(words) for _, words in worded]
             sums = [0, *accumulate(len(words) for _, words in worded)]
             stop, last = 0, len(worded)
-            least = min(run, last)
-            for k in range(last - least + 1 if least else 0):
-                stop = max(stop, k + least)
-                while stop < last and sums[stop] - sums[k] < min_words:
+            for k in range(last):
+                two = k + min(run, last)
+                stop = max(stop, k + 1)
+                while stop < last and sums[stop] - sums[k] < (min_words if stop >= two else alone):
                     stop += 1
-                if sums[stop] - sums[k] < min_words:
+                if sums[stop] - sums[k] < (min_words if stop >= two else alone):
                     break
                 h = xxhash.xxh3_128_intdigest(b"\n".join(keys[k:stop]))
                 first, final = worded[k][0], worded[stop - 1][0]
@@ -57,7 +57,7 @@ def span_keys(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return over_texts(docs, work, "doc_id long, tid long, pos int, size int, h1 long, h2 long")
 
 
-def dedup_spans(docs: DataFrame, run: int = 2, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", out_col: str = "spans") -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = 2, min_words: int = 20, alone: int = 40, id_col: str = "doc_id", text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """docs with one more column, the struct `spans` (n_sentences, n_removed,
     text): the text without sentences that a repeated run covers, except in its
     first occurrence by (doc_id, position).
@@ -65,13 +65,14 @@ def dedup_spans(docs: DataFrame, run: int = 2, min_words: int = 20, id_col: str
     Sentences end at `.`, `!`, `?` or a line's end; they are equal if their
     words are (A-Z lower-cased). From each sentence with words goes the shortest
     run of `run` sentences or more (all of a text with fewer) that holds
-    min_words words or more, if the text goes on that far. Defined cases: a null or empty text has no sentences and gives
+    min_words words or more, or of fewer sentences that hold `alone` words, if
+    the text goes on that far. Defined cases: a null or empty text has no sentences and gives
     ''; rows without doc_id lose nothing and are no occurrence; equal rows are
     one occurrence; a very long text is one slice of its own, a very long
     sentence one sentence; an empty table gives an empty one. A column of the
     input named as out_col is replaced. Other columns pass."""
     source = texts(docs, id_col, text_col)
-    spans = cut(span_keys(source, run, min_words), "span-keys")
+    spans = cut(span_keys(source, run, min_words, alone), "span-keys")
     place = F.struct("doc_id", "tid", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
     again = spans.join(cut(firsts, "first-spans"), ["h1", "h2"]).filter(place != F.col("first"))

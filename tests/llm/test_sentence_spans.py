@@ -5,7 +5,7 @@ from changeloom.llm.sentence_spans import SENTENCE, dedup_spans
 from .helpers import corpus, documents, lower, words
 
 
-def brute(rows, run, least):
+def brute(rows, run, least, alone=40):
     found, parts = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         pieces = re.findall(SENTENCE, t or "")
@@ -14,7 +14,8 @@ def brute(rows, run, least):
         for k in range(len(worded)):
             for stop in range(k + 1, len(worded) + 1):  # the shortest run that suffices
                 part = worded[k:stop]
-                if len(part) >= min(run, len(worded)) and sum(len(w) for _, w in part) >= least:
+                size = sum(len(w) for _, w in part)
+                if size >= alone or (len(part) >= min(run, len(worded)) and size >= least):
                     found.setdefault(tuple(tuple(w) for _, w in part), []).append((i, part[0][0], part[-1][0]))
                     break
     gone = {i: set() for i, _ in rows}
@@ -27,9 +28,9 @@ def brute(rows, run, least):
 def test_against_brute_force(spark):
     for seed in range(2):
         rows = corpus(seed + 10, 50)
-        for run, least in ((3, 8), (2, 3), (2, 20)):
-            got = {r.doc_id: (r.spans.n_sentences, r.spans.n_removed, r.spans.text) for r in dedup_spans(documents(spark, rows), run, least).collect()}
-            assert got == brute(rows, run, least)
+        for run, least, alone in ((3, 8, 40), (2, 3, 6), (2, 20, 40)):
+            got = {r.doc_id: (r.spans.n_sentences, r.spans.n_removed, r.spans.text) for r in dedup_spans(documents(spark, rows), run, least, alone).collect()}
+            assert got == brute(rows, run, least, alone)
 
 
 def test_nulls_repeats_and_clashes(spark):
@@ -50,3 +51,10 @@ def test_two_long_sentences_and_cut_edges(spark):
     got = {r.doc_id: (r.spans.n_removed, r.spans.text) for r in dedup_spans(documents(spark, rows)).collect()}
     assert got[2] == (2, f"Other words before {a}. {d}, then nothing.") and got[4] == (2, "Before. After it.")
     assert [got[i][0] for i in (1, 3, 5, 6)] == [0, 0, 0, 0]
+
+
+def test_a_sentence_as_long_as_several(spark):
+    long = " ".join(f"n{k}" for k in range(45))
+    rows = [(1, f"First. {long}. Some more of it."), (2, f"Second, other. {long}. And an end.")]
+    got = {r.doc_id: (r.spans.n_removed, r.spans.text) for r in dedup_spans(documents(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (1, "Second, other. And an end.")}
