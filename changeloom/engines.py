@@ -7,7 +7,9 @@ operators/detectors.py as functions of a file-changes table."""
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from changeloom.functions.canonical import seal
 from changeloom.operators import clones, detectors, history, rules, sourcecode
 from changeloom.sources.coverage import CANDIDATES
+from changeloom.sources.tables import cut
 
 RESULT_COLUMNS = ["engine_id", "family", "metric_id", "claim_id", "metric_class", "scope", "scope_label", "kind", "number", "flag", "said", "completeness", "tier", "deterministic", "regime_label"]
 
@@ -48,7 +51,7 @@ class Engine(ABC):
         """Rows of (metric_id, path, kind, number, flag, said, completeness)."""
 
     def run(self, spark: SparkSession, change: Change, tiers: DataFrame | None = None) -> DataFrame:
-        rows = self.measure(spark, change)
+        rows = cut(self.measure(spark, change), self.engine_id)
         known = F.array(*map(F.lit, self.metrics))
         checked = F.when(F.array_contains(known, F.col("metric_id")), F.col("metric_id")).otherwise(F.raise_error(F.concat(F.lit("undeclared metric "), F.col("metric_id"))).cast("string"))
         classes = F.create_map(*[F.lit(x) for pair in self.metrics.items() for x in pair])
@@ -77,6 +80,13 @@ class Engine(ABC):
         return seal(ladders.withColumn("severity", F.when(fired, by_flag).otherwise(F.col("severity"))))
 
 
+def together(works: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The results of works that each write a table, started side by side: a
+    change is small, and most of its time is planning and waiting."""
+    with ThreadPoolExecutor(len(works)) as pool:
+        return [f.result() for f in [pool.submit(w) for w in works]]
+
+
 def _row(metric: str, path, kind: str, number=None, flag=None, said=None, completeness="complete"):
     null = lambda t: F.lit(None).cast(t)
     return [
@@ -97,7 +107,7 @@ class StaticEngine(Engine):
     }
 
     def measure(self, spark, change):
-        facts = sourcecode.file_facts(change.files.filter("head IS NOT NULL").select("path", F.col("head").alias("content")))
+        facts = cut(sourcecode.file_facts(change.files.filter("head IS NOT NULL").select("path", F.col("head").alias("content"))), "facts")
         each = facts.select("path", "completeness", F.explode("functions").alias("f")).groupBy("path", "completeness").agg(F.max("f.cyclomatic").alias("cyclomatic"), F.max("f.cognitive").alias("cognitive"))
         out = facts.select(*_row("static.sloc", F.col("path"), "count", F.col("sloc"), completeness=F.col("completeness")))
         for k in ("cyclomatic", "cognitive"):
@@ -112,7 +122,7 @@ class ClonesEngine(Engine):
     metrics = {f"clones.{m}": "diff-actionable" for m in ("duplicated-tokens", "duplicated-token-ratio", "file-duplicated-tokens", "clone-groups", "largest-clone-tokens")}
 
     def measure(self, spark, change):
-        streams = sourcecode.streams(change.files.filter("head IS NOT NULL").select("path", F.col("head").alias("content"))).cache()
+        streams = cut(sourcecode.streams(change.files.filter("head IS NOT NULL").select("path", F.col("head").alias("content"))), "streams")
         total = clones.clone_summary(streams)
         groups = clones.disjoint_groups(clones.matches(clones.seed_pairs(clones.windows_of(streams)))).agg(F.count(F.lit(1)).alias("n"))
         out = total.select(*_row("clones.duplicated-tokens", None, "count", F.col("duplicated")))
@@ -127,7 +137,7 @@ class TamperEngine(Engine):
     metrics = {f"tamper.{s}{end}": "diff-actionable" for s in detectors.DETECTORS for end in ("", ".magnitude")}
 
     def measure(self, spark, change):
-        found = detectors.detect(change.files)
+        found = detectors.detect(change.files, together)
         whole = F.when(F.size("unassessed") > 0, "partial").otherwise("complete")
         flags = found.select(*_row("", None, "flag", flag=F.col("fired"), completeness=whole), "signal").withColumn("metric_id", F.concat(F.lit("tamper."), "signal"))
         sizes = found.select(*_row("", None, "count", F.col("magnitude"), completeness=whole), "signal").withColumn("metric_id", F.concat(F.lit("tamper."), "signal", F.lit(".magnitude")))
@@ -174,10 +184,11 @@ class ArtifactsEngine(Engine):
 def measure(spark: SparkSession, change: Change, engines: list[Engine], policy: rules.Policy | None = None, tiers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, record): all engines' sealed and clamped results, and the one-row
     verdict over them. An engine that fails raises: its metrics would be absent."""
+    change = replace(change, files=cut(change.files, "files"))
     out = None
-    for engine in engines:
-        part = engine.run(spark, change, tiers)
+    for part in together([lambda e=e: e.run(spark, change, tiers) for e in engines]):
         out = part if out is None else out.unionByName(part)
+    out = cut(out, "results")
     policy = policy or rules.Policy()
     clamped = rules.clamp(out, policy).withColumn("value_label", F.coalesce(F.col("number").cast("string"), F.col("flag").cast("string"), F.col("said")))
     record = rules.verdicts(clamped.withColumn("record", F.lit(1)), ["record"], policy).drop("record")

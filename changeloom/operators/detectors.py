@@ -6,12 +6,16 @@ only parsing needs Python (sourcecode.py)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import is_data_path, is_test_path
 from changeloom.operators import configs, sourcecode
 from changeloom.operators.changes import changed_content, key_moves, multiset_gain
+from changeloom.sources.tables import cut
 
 #: Substrings that mark a suppression, compared in lower case.
 MARKERS = [
@@ -167,10 +171,8 @@ DETECTORS = {
 }
 
 
-def detect(files: DataFrame) -> DataFrame:
-    """All detectors' outcomes over one change."""
-    out = None
-    for run in DETECTORS.values():
-        part = run(files)
-        out = part if out is None else out.unionByName(part)
-    return out
+def detect(files: DataFrame, together: Callable[[list], list] | None = None) -> DataFrame:
+    """All detectors' outcomes over one change, each written before they are
+    joined. `together` may start them side by side."""
+    works = [lambda run=run, name=name: cut(run(files), name) for name, run in DETECTORS.items()]
+    return reduce(DataFrame.unionByName, together(works) if together else [w() for w in works])
