@@ -103,30 +103,56 @@ _SECTION = re.compile(r"^\s*\[+([^\[\]]+)\]+\s*$")
 _PAIR = re.compile(r"""["']?([A-Za-z0-9_./*-]+)["']?\s*[:=]\s*(.+?)\s*,?\s*$""")
 _COMMENT = re.compile(r"^\s*(?:#|//|;|--)")
 OPEN_LINES = 64
+#: A key and what sets it; `=>`, `==`, `!=`, `<=`, `>=` and `::` set nothing.
+_KEYED = re.compile(r"""(?<![A-Za-z0-9_./*-])([A-Za-z0-9_./*-]+)["']?\s*(?<![=!<>:])[:=](?![=>])\s*""")
+_CLOSES = {"[": "]", "{": "}"}
+
+
+def _open(text: str) -> int:
+    return sum(map(text.count, "[({")) - sum(map(text.count, "])}"))
+
+
+def _value(text: str) -> str:
+    """The value at the start of text: a bracket up to its match, else what
+    comes before the next comma or closing bracket."""
+    if text[:1] in _CLOSES:
+        depth = 0
+        for at, c in enumerate(text):
+            depth += (c == text[0]) - (c == _CLOSES[text[0]])
+            if not depth:
+                return text[: at + 1]
+        return text
+    return re.split(r"[,}\]]", text, maxsplit=1)[0].strip().rstrip(";").strip().strip("\"'")
+
+
+def pairs(line: str) -> list[tuple[str, str]]:
+    """Every (key, value) set in a line, inside nested objects too. Keys are in
+    lower case; a number is no key."""
+    return [(m.group(1).lower(), _value(line[m.end() :])) for m in _KEYED.finditer(line) if not m.group(1).isdigit()]
 
 
 def scan(text: str) -> Iterator[tuple[int, str, str]]:
-    """(line, section-qualified key, value) of `key: value` and `key = value`
-    lines; a value with open brackets runs on for a bounded number of lines."""
-    section, lines, k = "", text.splitlines(), 0
-    while k < len(lines):
-        line, at = lines[k], k + 1
-        k += 1
+    """(line, section-qualified key, value) of all pairs of all lines. A value
+    whose bracket stays open is completed from a bounded number of lines; an
+    object is no value, its keys are read where they stand."""
+    section, lines = "", text.splitlines()
+    for k, line in enumerate(lines):
         if _COMMENT.match(line):
             continue
         if found := _SECTION.match(line):
-            section = found.group(1).strip() + "."
-            continue
-        found = _PAIR.search(line.strip())
-        if not found:
+            section = found.group(1).strip().lower().removeprefix("tool.") + "."
             continue
-        key, value = found.groups()
-        opened = lambda v: sum(map(v.count, "[({")) - sum(map(v.count, "])}"))
-        more = 0
-        while opened(value) > 0 and k < len(lines) and more < OPEN_LINES and not value.rstrip().endswith("{"):
-            value += " " + lines[k].strip()
-            k, more = k + 1, more + 1
-        yield at, section + key, value.strip().rstrip(",").strip("\"'")
+        own, joined = pairs(line), line.strip()
+        if own and _open(joined) > 0:
+            for more in lines[k + 1 : k + 1 + OPEN_LINES]:
+                if not _COMMENT.match(more):
+                    joined += " " + more.strip()
+                if _open(joined) <= 0:
+                    own = [(key, later[1] if later[0] == key else value) for (key, value), later in zip(own, pairs(joined), strict=False)]
+                    break
+        for key, value in own:
+            if value and not value.startswith("{"):
+                yield k + 1, section + key, value
 
 
 def _sides(files: DataFrame, emit, schema: str) -> DataFrame:

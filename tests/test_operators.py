@@ -172,3 +172,23 @@ def test_iterations(spark):
     rows = [("m", 1, "a", "countable"), ("m", 2, "a", "countable"), ("m", 3, "b", "inconclusive"), ("m", 4, "c", "countable"), ("m", 5, "c", "finished"), ("m", 6, "c", "countable")]
     df = spark.createDataFrame(rows, "branch string, seq long, change string, outcome string")
     assert [r["count"] for r in iterate(df, cap=1).orderBy("seq").collect()] == [1, 1, 1, 2, 0, 1]
+
+
+def test_every_pair_of_a_line_is_read():
+    from changeloom.operators.configs import scan
+
+    read = lambda text: [(k, v) for _, k, v in scan(text)]
+    assert read('{ "compilerOptions": { "strict": true, "target": "es2020" } }') == [("strict", "true"), ("target", "es2020")]
+    assert read("branches: 80, lines: 70") == [("branches", "80"), ("lines", "70")]
+    assert read("if (a == b && c >= 3) x => y; at 10:30\n# key = 1\nFail_Under = 90;") == [("fail_under", "90")]
+    assert read("[tool.coverage.report]\nomit = [\n  'a',\n  'b',\n]\nlast = 1") == [("coverage.report.omit", "[ 'a', 'b', ]"), ("coverage.report.last", "1")]
+    assert read('"rules": {\n "complexity": ["error",\n 10]\n}') == [("complexity", '["error", 10]')]
+
+
+def test_one_line_config_edit_is_seen(spark):
+    from changeloom.operators.detectors import threshold_config_edit
+
+    rows = [("tsconfig.json", '{ "compilerOptions": { "strict": true, "target": "es2020" } }', '{ "compilerOptions": { "strict": false, "target": "es5" } }')]
+    files = spark.createDataFrame([(p, p, "modified", bytearray(b.encode()), bytearray(h.encode())) for p, b, h in rows], "path string, old_path string, kind string, base binary, head binary")
+    out = threshold_config_edit(files).first()
+    assert out.fired and out.magnitude == 1 and "strict" in out.findings[0].text and out.unassessed == []
