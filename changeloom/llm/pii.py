@@ -6,20 +6,24 @@ with the same expression; their running lengths are the spans, in code points.
 The expressions are possessive and guarded at their left, so that one pass over
 a text is linear; they find what the plain expressions find.
 
-Bootstrapping. An instance is the word after a lexical cue: a word that ends in
-`=` or `:`, with the word before it where the cue is punctuation alone. Seed
-instances lie on base spans or are long hexadecimal secrets. Patterns (cues) and
-instance values form a graph: a pattern's score is the mean score of the
-distinct values found behind it; a value takes the best score of its patterns,
-and a seed has score 1. After a few rounds, patterns of high score that several
-distinct seeds support yield new spans: the identifier-like values behind them.
-Both sides are aggregated with map-side combine and joined as written tables."""
+Bootstrapping. An instance is a word with a digit or an `@`. Its patterns are the
+one, two and three words before it (digits as 0, with a letter at least), or the
+key where it is joined to one (`key=value`). Seed instances lie on base spans or
+are long hexadecimal secrets. Patterns and instance values form a graph: a
+pattern's score is the mean score of the distinct values found behind it; a value
+takes the best score of its patterns, and a seed has score 1. After a few rounds,
+patterns of high score that several distinct seeds support yield new spans: the
+identifier-like values behind them. Both sides are aggregated with map-side
+combine and joined as written tables. Work on one text is in proportion to its
+length: spans are built in blocks, and instances meet base spans in a window over
+both in their order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changeloom.llm.common import cut, texts
@@ -30,7 +34,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CUE = rf"(?<![^{B}])(?:[^{B}]++[{B}]++)?[^{B}]++(?<=[=:])[{B}]++(?=[^{B}])"
+#: A word with a digit or an at sign; a key joined to its value.
+WORD = rf"(?<![^{B}])(?=[^{B}]*?[0-9@])[^{B}]++"
+JOINED = r"^[^\p{L}\p{N}]*(\p{L}[\p{L}\p{N}_.-]*+(?:=|:(?!/)))[^\p{L}\p{N}]*[\p{L}\p{N}]"
+CONTEXT, BLOCK = 3, 256
 KINDS = ["email", "ip", "card", "phone", "id"]
 SPAN = "array<struct<start:int,end:int,rank:int,said:string>>"
 
@@ -70,14 +77,23 @@ def _found(df: DataFrame, out: str, rank: int, pattern: str, guard: Column) -> D
     df = df.withColumn("__m", F.when(guard, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
     df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split("text", pattern, -1)).otherwise(empty))
 
+    # An array that grows by one is copied each time, so blocks are built first.
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get("__g", i))
         end = start + F.length(F.get("__m", i))
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.get("__m", i).alias("said"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = F.when(F.size("__m") > 0, F.aggregate(F.sequence(F.lit(0), F.size("__m") - 1), zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    none, last = F.array().cast(SPAN), F.size("__m") - 1
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK - 1, last)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        grown = lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+        return F.get(F.transform(F.array(inner), grown), F.lit(0))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), zero, block)["out"]
+    spans = F.when(F.size("__m") > 0, F.flatten(blocks)).otherwise(none)
     return df.withColumn(out, spans)
 
 
@@ -96,33 +112,50 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _with_instances(df: DataFrame) -> DataFrame:
-    """Adds `instances`: pattern, value, start, end, seed of each word behind a
-    cue, without the quotes and other punctuation around it."""
-    df = _found(df, "__cues", 9, CUE, F.col("text").rlike(rf"[=:][{B}]"))
-    cue_words = lambda s: F.split(F.rtrim(F.regexp_replace(s, rf"[{B}]+", " ")), " ")
-
-    def one(cue: Column, i: Column) -> Column:
-        behind = F.concat(F.get("__g", i + 1), F.coalesce(F.get("__m", i + 1), F.lit("")))
-        word = F.regexp_extract(behind, rf"^[^{B}]+", 0)
-        value = F.regexp_extract(word, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
-        start = cue["end"] + F.length(F.regexp_extract(word, r"^[^\p{L}\p{N}]*", 0))
-        words = cue_words(F.translate(F.lower(cue["said"]), "0123456789", "0000000000"))
-        bare = ~F.element_at(words, -1).rlike(r"[\p{L}\p{N}]")
-        pattern = F.when(bare & (F.size(words) > 1), F.array_join(words, " ")).otherwise(F.element_at(words, -1))
-        return F.struct(pattern.alias("pattern"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
-
-    df = df.withColumn("__i", F.filter(F.transform("__cues", one), lambda x: F.length(x["value"]) > 0)).drop("__m", "__g", "__cues")
-    on_base = lambda x: F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    secret = lambda v: v.rlike("^[0-9A-Fa-f]{32,}$") & v.rlike("[0-9]") & v.rlike("[A-Fa-f]")
-    return df.withColumn(
-        "instances",
-        F.transform("__i", lambda x: F.struct(x["pattern"], x["value"], x["start"], x["end"], on_base(x).alias("on_base"), (on_base(x) | secret(x["value"])).alias("seed"))),
-    ).drop("__i")
+    """Adds `instances`: patterns, value, start, end of each word with a digit or
+    an at sign, without the quotes and other punctuation around it."""
+    df = _found(df, "__words", 9, WORD, F.col("text").rlike("[0-9@]"))
+    plain = lambda s: F.translate(F.lower(s), "123456789", "000000000")
+
+    def one(word: Column, i: Column) -> Column:
+        said = word["said"]
+        key = F.regexp_extract(said, JOINED, 1)
+        shift = F.when(key == "", 0).otherwise(F.length(F.regexp_extract(said, r"^[^\p{L}\p{N}]*", 0)) + F.length(key))
+        rest = F.substring(said, shift + 1, F.length(said))
+        value = F.regexp_extract(rest, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
+        start = word["start"] + shift + F.length(F.regexp_extract(rest, r"^[^\p{L}\p{N}]*", 0))
+        before = F.concat(F.coalesce(F.get("__m", i - 1), F.lit("")), F.get("__g", i))
+        tail = F.regexp_extract(before, rf"(?:[^{B}]++[{B}]++){{0,{CONTEXT}}}$", 0)
+        words = F.filter(F.split(plain(tail), rf"[{B}]+"), lambda w: w != "")
+        runs = F.transform(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda k: F.when(k <= F.size(words), F.array_join(F.slice(words, -k, k), " ")).otherwise(""))
+        patterns = F.when(key != "", F.array(plain(key))).otherwise(F.filter(F.array_distinct(runs), lambda p: p.rlike(r"\p{L}")))
+        return F.struct(patterns.alias("patterns"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
+
+    return df.withColumn("instances", F.filter(F.transform("__words", one), lambda x: F.length(x["value"]) > 0)).drop("__m", "__g", "__words")
+
+
+def _seeded(seen: DataFrame) -> DataFrame:
+    """(doc_id, tid, patterns, value, start, end, on_base, seed): instances that
+    have a pattern, and whether a base span overlaps them. In the order of base
+    starts and instance ends, that is told by the largest base end so far."""
+    held = seen.filter("doc_id IS NOT NULL AND size(instances) > 0")
+    found = held.select("doc_id", "tid", F.inline("instances")).filter("size(patterns) > 0").distinct()
+    base = held.select("doc_id", "tid", F.inline("base")).select("doc_id", "tid", F.col("start").alias("at"), F.lit(1).alias("turn"), F.col("end").alias("reach")).distinct()
+    rows = found.withColumns({"at": F.col("end"), "turn": F.lit(0), "reach": F.lit(0)}).unionByName(base, allowMissingColumns=True)
+    so_far = W.partitionBy("doc_id", "tid").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("reach", F.max("reach").over(so_far)).filter("turn = 0").withColumn("on_base", F.col("reach") > F.col("start"))
+    secret = F.col("value").rlike("^[0-9A-Fa-f]{32,}$") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Fa-f]")
+    return rows.withColumn("seed", F.col("on_base") | secret).drop("at", "turn", "reach")
+
+
+def _like(value: str) -> Column:
+    return (F.length(F.regexp_replace(value, r"[^\p{L}\p{N}]", "")) >= 6) & F.col(value).rlike("[0-9]")
 
 
 def _patterns(instances: DataFrame, rounds: int, min_score: float, min_support: int) -> DataFrame:
     """The patterns accepted after some rounds over the pattern-value graph."""
-    links = instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    links = instances.filter(F.col("seed") | _like("value")).select(F.explode("patterns").alias("pattern"), "value", "seed")
+    links = links.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     links = cut(links, "pattern-links")
     values = links.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
@@ -145,16 +178,17 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_score: float = 0.6, min_suppo
     A value is identifier-like if it has six letters or digits, one digit at
     least. Spans the method finds on a base span are not added. Defined cases: a
     null or empty text has no spans; rows without doc_id get base spans alone;
-    equal rows get equal spans; an empty table gives an empty one."""
+    equal rows get equal spans; a very long text costs in proportion to its
+    length; an empty table gives an empty one."""
     source = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     seen = _with_instances(_base(source)).select("doc_id", F.xxhash64("text").alias("tid"), "base", "instances")
     seen = cut(seen, "pii")
-    instances = cut(seen.filter("doc_id IS NOT NULL AND size(instances) > 0").select("doc_id", "tid", F.inline("instances")), "instances")
-    sure = _patterns(instances, rounds, min_score, min_support)
-    like = F.length(F.regexp_replace("value", r"[^\p{L}\p{N}]", "")) >= 6
+    instances = cut(_seeded(seen), "instances")
+    sure = cut(_patterns(instances, rounds, min_score, min_support), "patterns")
     new = (
-        instances.join(sure, "pattern", "left_semi")
-        .filter(~F.col("on_base") & like & F.col("value").rlike("[0-9]"))
+        instances.filter(~F.col("on_base") & _like("value"))
+        .select("doc_id", "tid", "start", "end", F.explode("patterns").alias("pattern"))
+        .join(sure, "pattern", "left_semi")
         .groupBy("doc_id", "tid")
         .agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end")).alias("new"))
     )

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -66,6 +67,79 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 
 def test_long_texts(spark):
-    text = "word " * 40_000 + "a@b.cc " * 300 + "x" * 30_000
+    text = "word " * 40_000 + "a@b.cc " * 100_000 + "x" * 30_000
     ((_, base, _),) = spans(documents(spark, [(1, text)]))
     assert base == brute(text)
+
+
+def method(rows, rounds=3, min_score=0.6, min_support=5):
+    """The method, by loops over words: doc_id -> added spans."""
+    found = []
+    for i, text in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute(text).split(",") if x]
+        before = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+            word, context = m.group(), before[-3:]
+            before.append(word)
+            if not re.search("[0-9@]", word):
+                continue
+            key = re.match(r"[\W_]*([^\W\d_][\w.-]*(?:=|:(?!/)))[\W_]*[^\W_]", word)
+            shift = key.end(1) if key else 0
+            value = re.search(r"[^\W_](?:.*[^\W_])?", word[shift:])
+            if not value:
+                continue
+            plain = lambda w: re.sub("[0-9]", "0", w.lower())
+            patterns = {plain(key.group(1))} if key else {" ".join(map(plain, context[-k:])) for k in (1, 2, 3) if k <= len(context)}
+            patterns = {p for p in patterns if re.search(r"[^\W\d_]", p)}
+            a, b = m.start() + shift + value.start(), m.start() + shift + value.end()
+            on_base = any(x < b and a < y for x, y in base)
+            value = value.group()
+            secret = bool(re.fullmatch("[0-9A-Fa-f]{32,}", value) and re.search("[0-9]", value) and re.search("[A-Fa-f]", value))
+            like = len(re.sub(r"[\W_]", "", value)) >= 6 and bool(re.search("[0-9]", value))
+            found.append((i, patterns, value, a, b, on_base, on_base or secret, like))
+    seeds, values = {}, {}
+    for _, patterns, value, _, _, _, seed, like in found:
+        for p in patterns if seed or like else ():
+            values.setdefault(p, set()).add(value)
+            if seed:
+                seeds.setdefault(p, set()).add(value)
+    link_seed = {(p, v) for p, vs in seeds.items() for v in vs}
+    every = {v for vs in values.values() for v in vs}
+    seed_score = {v: float(any((p, v) in link_seed for p in values)) for v in every}
+    score = dict(seed_score)
+    for _ in range(rounds):
+        mean = {p: sum(score[v] for v in vs) / len(vs) for p, vs in values.items()}
+        sure = {p: x for p, x in mean.items() if x >= min_score and len(seeds.get(p, ())) >= min_support}
+        score = {v: max([seed_score[v], *(sure[p] for p in sure if v in values[p])]) for v in every}
+    out = {i: set() for i, _ in rows}
+    for i, patterns, _, a, b, on_base, _, like in found:
+        if not on_base and like and patterns & sure.keys():
+            out[i].add((a, 4, b))
+    return out
+
+
+def test_method_against_loops(spark):
+    rng = random.Random(2)
+    leads = ["reach me at", "account number is", "Call", "total of", "order", "my key", "api_key=", "id:"]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            lead = rng.choice(leads)
+            value = rng.choice([f"user{rng.randrange(99)}@mail.example.com", f"10.0.{rng.randrange(200)}.7", f"AB{rng.randrange(10**6):06d}", f"+1 415 555 {rng.randrange(10**4):04d}", "4111 1111 1111 1111", f"{rng.getrandbits(160):040x}", "about 12 items", f"\"no-{rng.randrange(10**5):05d}-x\"."])
+            if lead in ("total of", "order") and rng.random() < 0.8:
+                value = f"{rng.randrange(10**7):07d}"
+            parts += [lead + ("" if lead.endswith("=") else " ") + value, rng.choice(["and", "then some words.", "", "123"])]
+        rows.append((i, " ".join(parts)))
+    want = method(rows)
+    assert 10 < sum(map(len, want.values()))
+    names = ["email", "ip", "card", "phone", "id"]
+    for i, base, found in spans(documents(spark, rows)):
+        both = {(int(a), names.index(k), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)} | want[i]
+        assert found == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(both))
+
+
+def test_patterns_of_prose(spark):
+    rows = [(k, f"you can reach me at someone{k}@mail.example.com any day") for k in range(8)] + [(20, "you can reach me at user-99812 any day"), (21, "it had 1234567 of them")]
+    got = {i: f for i, _, f in spans(documents(spark, rows))}
+    assert got[20] == "id:20:30" and got[21] == ""
