@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,18 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only
-    where the setting is absent (tests and local runs)."""
+    """The shared folder named by spark.checkpoint.dir. Where the setting is absent,
+    a temporary one that goes with the process; on a cluster that is an error, as
+    each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="changeloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="changeloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: the lineage
-    ends there, and any executor can read every part after a loss."""
+    ends there, and any executor can read every part after a loss. Results are lazy
+    and read these tables, so they stay until the folder's owner clears it."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
