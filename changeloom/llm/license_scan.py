@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from changeloom.llm.common import blobs, over_texts, texts
 
@@ -22,8 +23,36 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Template texts by label: the notices by which public licences are applied or
-#: recognised (fixed values).
+_MIT_BODY = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+)
+_MIT_DISCLAIMER = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAME = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+
+def _gnu(license: str) -> list[str]:
+    """The two paragraphs by which a GNU licence is applied."""
+    return [
+        f"this program is free software you can redistribute it and or modify it under the terms of the {license} as published by the free software foundation",
+        f"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {license} for more details",
+    ]
+
+
+#: Template texts by label: whole short licences, and of long ones the notices by
+#: which they are applied or recognised (fixed values). `read_templates` adds more.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0",
@@ -31,24 +60,42 @@ TEMPLATES = {
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
     "gpl-3": ["released under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
-    "gpl-notice": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
-    ],
+    "gpl-notice": _gnu("gnu general public license"),
+    "lgpl-notice": _gnu("gnu lesser general public license"),
+    "agpl-notice": _gnu("gnu affero general public license"),
     "mit-notice": [
         "released under the mit license",
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     ],
+    "mit": [f"{_MIT_BODY} {_MIT_DISCLAIMER}"],
     "cc-by-4.0": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "cc0-1.0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "bsd": [_BSD_GRANT, _BSD_SOURCE],
+    "bsd-2-clause": [" ".join((_BSD_GRANT, "1", _BSD_SOURCE, "2", _BSD_BINARY, _BSD_DISCLAIMER))],
+    "bsd-3-clause": [" ".join((_BSD_GRANT, "1", _BSD_SOURCE, "2", _BSD_BINARY, "3", _BSD_NAME, _BSD_DISCLAIMER))],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
     ],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"],
+    "cddl-1.0": ["the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license"],
     "all-rights-reserved": ["all rights reserved"],
 }
 
@@ -69,6 +116,7 @@ class TemplateAutomaton:
         self.next, self.link, self.length = [{}], [-1], [0]
         self.templates: list[tuple[str, list[int]]] = []
         self.phrase_labels = list(phrases.values())
+        self.shortest = min((len(words_of(p.encode())) for p in phrases), default=2)
         coded = [(None, p, k) for k, p in enumerate(phrases)] + [(label, t, -1) for label, ts in templates.items() for t in ts]
         sequences = []
         for label, text, _ in coded:
@@ -89,6 +137,15 @@ class TemplateAutomaton:
                 while at > 0:
                     self.ends[at].append((t, k + 1))
                     at = self.link[at]
+        # all occurrences of a match or of its shorter endings: (template, end, length), no length for the match itself
+        self.places: list[list[tuple[int, int, int | None]]] = []
+        for state in range(len(self.next)):
+            found, seen, at = [], set(), state
+            while at > 0:
+                found += [(t, e, None if at == state else self.length[at]) for t, e in self.ends[at] if (t, e) not in seen]
+                seen.update(self.ends[at])
+                at = self.link[at]
+            self.places.append(found)
         # phrases that end at a state: (length, phrase), where the match is as long
         own: dict[int, list[tuple[int, int]]] = {}
         for ids, (label, _, k) in zip(sequences, coded, strict=True):
@@ -156,12 +213,12 @@ class Scanner:
         ids = np.fromiter((auto.vocabulary.get(w, -1) for w in words), np.int32, len(words))
         known = np.flatnonzero(ids >= 0)
         base: list[tuple[int, int]] = []
-        matches: list[tuple[int, int, int]] = []  # (end, length, state) of maximal matches
+        matches: list[tuple[int, int, int, int]] = []  # maximal matches: (end, length, template, end in it)
         if len(known):
             # words outside the vocabulary reset the automaton: only runs of known words are streamed
             cuts = np.flatnonzero(np.diff(known) > 1) + 1
             for run in np.split(known, cuts) if len(cuts) else [known]:
-                if len(run) < 2:
+                if len(run) < min(self.automaton.shortest, self.min_match):
                     continue
                 start = int(run[0])
                 states = list(auto.stream(ids[start : start + len(run)].tolist()))
@@ -169,26 +226,29 @@ class Scanner:
                     for length, phrase in auto.phrases[state]:
                         if size >= length:
                             base.append((start + k + 1 - length, phrase))
-                    grows = k + 1 < len(states) and states[k + 1][1] == size + 1
-                    if size >= self.min_match and not grows:
-                        matches.append((start + k + 1, size, state))
+                    if size >= self.min_match:
+                        follows = int(ids[start + k + 1]) if k + 1 < len(states) else -1
+                        for t, at, length in auto.places[state]:
+                            length, template = length or size, auto.templates[t][1]
+                            if length >= self.min_match and (at == len(template) or template[at] != follows):
+                                matches.append((start + k + 1, length, t, at))
         return base, self.chains(matches) if matches else {}
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
+    def chains(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[float, int, int]]:
         """Chain matches that go forward both in the file and in the template,
         with gaps of max_gap words or fewer."""
         placed: dict[int, list[tuple[int, int, int]]] = {}  # template -> (file end, length, template end)
-        for end, size, state in matches:
-            for t, template_end in self.automaton.ends[state]:
-                placed.setdefault(t, []).append((end, size, template_end))
+        for end, size, t, template_end in matches:
+            placed.setdefault(t, []).append((end, size, template_end))
         out = {}
         for t, found in placed.items():
             total = len(self.automaton.templates[t][1])
             open_chains: list[tuple[int, int, int, int]] = []  # file end, template end, covered, first word
             best = (0.0, 0, 0)
-            for end, size, template_end in found:
+            later = np.minimum.accumulate([end - size for end, size, _ in reversed(found)])[::-1].tolist()  # the first start still to come
+            for (end, size, template_end), start in zip(found, later, strict=True):
                 option = (end, template_end, size, end - size)
-                open_chains = [c for c in open_chains if end - size - c[0] <= self.max_gap or c[0] > end - size]
+                open_chains = [c for c in open_chains if start - c[0] <= self.max_gap]
                 for before, template_before, covered, first in open_chains:
                     fresh = min(size, end - before, template_end - template_before)
                     if fresh > 0 and end - size - before <= self.max_gap and template_end - size - template_before <= self.max_gap and covered + fresh > option[2]:
@@ -203,6 +263,16 @@ class Scanner:
 _SCANNERS: dict = {}
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Further templates, one text file each, labelled by the file's name without
+    its ending. They travel with the plan, so they may hold 4 MB together."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    if (files.agg(F.sum("length")).first()[0] or 0) > 4 << 20:
+        raise ValueError("templates hold more than 4 MB")
+    named = sorted((r.path.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower(), bytes(r.content).decode("utf-8", "replace")) for r in files.collect())
+    return {label: [text] for label, text in named}
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, list[str]] | None = None,
