@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import blobs, over_texts, slices, texts
+from changeloom.llm.common import blobs, cut, over_texts, slices, texts
 
 #: As in prose: letters, digits and all non-ASCII characters make words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -178,13 +178,15 @@ def find_contamination(
 
     The score is the alignment's share of the item's own full score. A document
     is contaminated from a share of `least` on, or by an excerpt of any share: 13
-    words of an item in a row, or more of them with single edits. Defined cases: null and empty texts or items match nothing; an item shorter than n
-    words is its own seed; a null item_id is reported as null; equal rows give
-    equal rows; without items no document is contaminated."""
+    words of an item in a row, or more of them with single edits. Defined cases:
+    null and empty texts or items match nothing; an item shorter than n words is
+    its own seed; a null item_id is reported as null; equal rows give equal rows;
+    a very long text is aligned only around its seeds; without items no document
+    is contaminated; an empty table gives an empty one."""
     source, found = texts(docs, id_col, text_col), None
     blocks = item_blocks(benchmark, n, max_items, block_words)
     if len(blocks) > 1:
-        source = source.withColumn("__row", F.monotonically_increasing_id())
+        source = cut(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # the same numbers for each block
     for block in blocks:
 
         def work(batch: pa.RecordBatch, block=block) -> dict:

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -72,3 +74,55 @@ def test_short_items_and_empty_tables(spark):
     assert {r.doc_id: r.contaminated for r in got.collect()} == {1: True, 2: False}
     assert find_contamination(documents(spark, []), items(spark, (1, ITEM))).count() == 0
     assert not find_contamination(documents(spark, [(1, ITEM)]), items(spark)).first().contaminated
+
+
+def table_score(a, b, match, miss, gap):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (match if x == y else miss), row[j + 1] + gap, new[j] + gap))
+        row, best = new, max(best, *new)
+    return best
+
+
+def brute(rows, benchmark, n=4, max_items=3, least=0.5):
+    """Every document against every item that it shares a seed with, whole."""
+    word = re.compile(r"[^\W_]+")
+    split = lambda t: word.findall((t or "").lower())
+    grams = lambda w: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+    table = [(i, split(t)) for i, t in benchmark if split(t)]
+    held = Counter(g for _, w in table for g in grams(w))
+    out = {}
+    for d, text in rows:
+        ws, out[d] = split(text), {}
+        for i, w in table:
+            seeds = {g for g in grams(w) if held[g] <= max_items} or grams(w)
+            if not any(tuple(ws[k : k + len(g)]) == g for g in seeds for k in range(len(ws))):
+                continue
+            share = table_score(w, ws, 2, -1, -1) / (2 * len(w))
+            if share >= least or table_score(w, ws, 1, -3, -3) >= 13:
+                out[d][i] = share
+    return out
+
+
+def test_result_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "en", "ir", "o", "ut")]
+    prose = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    benchmark = [(i, prose(rng.choice((3, 12, 25, 60)))) for i in range(12)]
+    benchmark += [(20 + k, benchmark[3][1][:10] + prose(6)) for k in range(4)]
+    rows = []
+    for d in range(60):
+        part = rng.choice(benchmark)[1]
+        a, b = sorted((rng.randrange(len(part) + 1), rng.randrange(len(part) + 1)))
+        part = part[a:b] if rng.random() < 0.5 else part[:]
+        for _ in range(rng.randrange(5)):
+            if part:
+                at = rng.randrange(len(part))
+                part[at : at + rng.randrange(2)] = prose(rng.randrange(3))
+        rows.append((d, " ".join([*prose(rng.randrange(60)), *part, *prose(rng.randrange(60))])))
+    benchmark = [(i, " ".join(w)) for i, w in benchmark]
+    want = brute(rows, benchmark)
+    got = {r.doc_id: {h.item_id: h.score for h in r.hits} for r in find_contamination(documents(spark, rows), items(spark, *benchmark)).collect()}
+    assert got == want and 10 < sum(map(bool, want.values())) < 60

@@ -5,10 +5,9 @@ import random
 import corpus_pipeline
 import sentencepiece
 
-from changeloom.llm.decontaminate import Items
 from changeloom.llm.piece_fst import PATH
 
-from . import test_line_dedup, test_near_dedup, test_repetition
+from . import test_decontaminate, test_line_dedup, test_near_dedup, test_repetition
 from .helpers import SCHEMA
 
 ITEM = "nine green bottles were standing on the old stone wall when the first of them began to sing a slow song about the sea and the rain"
@@ -36,8 +35,8 @@ def brute(rows):
     rows = [(i, lines[i][2]) for i, _ in rows]
     near = test_near_dedup.brute(rows, 5, 80)
     rows = [(i, t) for i, t in rows if near[i][2]]
-    item = Items([(1, ITEM.encode())], 4, 3)
-    rows = [(i, t) for i, t in rows if not item.matches(item.word_ids([t.encode()])[0], 0.5)]
+    held = test_decontaminate.brute(rows, [(1, ITEM)])
+    rows = [(i, t) for i, t in rows if not held[i]]
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     return {i: library.encode(t) for i, t in rows}
 
