@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNRECORDED = "(unrecorded)"
@@ -125,8 +128,16 @@ def migrate(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
 
 
 def p95(frame: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Nearest-rank 95th percentile."""
-    return frame.groupBy(*by).agg(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    """Nearest-rank 95th percentile: the least value up to which 95 of 100 lie.
+    Values are counted with map-side combine first; what is sorted in a group is
+    its distinct values, which spill, where a percentile aggregate holds them."""
+    counts = frame.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*by)
+    ranked = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy(value)), "__all": F.sum("__n").over(group)})
+    found = ranked.filter(F.col("__upto") * 100 >= F.col("__all") * 95).groupBy(*by).agg(F.min(value).alias("p95"))
+    keys = frame.select(*by).distinct()
+    same = reduce(Column.__and__, [keys[c].eqNullSafe(found[c]) for c in by])
+    return keys.join(found, same, "left").select(*[keys[c] for c in by], "p95")
 
 
 #: Attestations from best to worst (fixed values).

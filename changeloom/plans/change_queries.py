@@ -24,6 +24,34 @@ def overlay_merge(spark, d):
     return changes.overlay(committed, dirty)
 
 
+def key_moves(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.explode(F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"))).alias("key", "value"))
+    head = p.filter("p_partkey % 5 <> 0 OR key = 'size'").withColumn("value", F.when(F.col("p_partkey") % 3 == 0, F.concat("value", F.lit("!"))).when(F.col("p_partkey") % 7 != 0, F.col("value")))
+    return changes.key_moves(p, head, ["p_partkey", "key"])
+
+
+def value_labels(spark, d):
+    e = table(spark, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("integer", "count", "duration", "flag", "text"))), (F.col("event_id") % 5 + 1).cast("int"))
+    value = F.struct(kind.alias("kind"), (F.col("event_id") % 301 - 150).alias("value_long"), F.lit(0.5).alias("value_double"), (F.col("user_id") % 2 == 0).alias("value_bool"), F.col("event_type").alias("value_text"))
+    span = F.when(F.col("event_id") % 4 == 0, F.struct(F.col("user_id").alias("start")))
+    scope = F.struct(F.lit("change").alias("kind"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("path"), F.when(F.col("event_id") % 2 == 0, F.lit("f")).alias("symbol"), span.alias("line_span"))
+    rows = e.withColumns({"v": value, "s": scope})
+    return rows.select("event_id", scalars.value_label(F.col("v")).alias("value_label"), scalars.scope_label(F.col("s")).alias("scope_label"))
+
+
+def regime_labels(spark, d):
+    c, null = table(spark, d, "customer"), lambda t: F.lit(None).cast(t)
+    family = F.element_at(F.array(*map(F.lit, ("process", "tamper", "clones", "static"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    text = F.col("c_nationkey").cast("string")
+    grammars = F.create_map(F.lit("rust"), text, F.lit("python"), F.col("c_mktsegment"))
+    fields = dict(
+        family=family, engine_version=F.lit("2"), spec_revision=text, grammars=grammars, algorithm=F.lit("hash"), min_tokens=F.col("c_nationkey"), window_tokens=F.lit(25), normalization_revision=text,
+        detector_set_revision=text, rule_pack_version=F.col("c_mktsegment"), git_version=text, history_window_days=F.lit(365), parser_versions=null("map<string,string>"), command=null("string"), sandbox=null("string"),
+    )
+    return c.select("c_custkey", scalars.regime_label(F.struct(*[x.alias(n) for n, x in fields.items()])).alias("label"))
+
+
 def base_head_delta(spark, d):
     p = table(spark, d, "part")
     head = p.select((F.col("p_partkey") + 1000).alias("path"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).alias("old_path"), F.when(F.col("p_partkey") % 10 == 0, "other").otherwise(F.col("p_brand")).alias("language"), (F.col("p_size") * 2).alias("value"))
@@ -210,6 +238,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         excluded_paths,
+        key_moves,
+        value_labels,
+        regime_labels,
         overlay_merge,
         base_head_delta,
         suffix_match_join,
@@ -240,6 +271,20 @@ QUERIES = {
 }
 _NAMES = "['info', 'low', 'medium', 'high', 'critical']"
 ORACLES = {
+    "key_moves": """
+WITH p AS (SELECT p_partkey, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part),
+h AS (SELECT p_partkey, key, CASE WHEN p_partkey % 3 = 0 THEN value || '!' WHEN p_partkey % 7 <> 0 THEN value END AS after FROM p WHERE p_partkey % 5 <> 0 OR key = 'size')
+SELECT p.p_partkey, p.key, value AS before, after FROM p LEFT JOIN h ON h.p_partkey = p.p_partkey AND h.key = p.key WHERE value IS DISTINCT FROM after""",
+    "value_labels": """
+WITH e AS (SELECT *, event_id % 301 - 150 AS n FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN n > 0 THEN '+' ELSE '' END || n::VARCHAR WHEN 1 THEN n::VARCHAR WHEN 2 THEN n::VARCHAR || 'ms'
+  WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'fired' ELSE 'not fired' END ELSE event_type END AS value_label,
+  CASE WHEN event_id % 3 = 0 THEN 'change' ELSE event_type || CASE WHEN event_id % 2 = 0 THEN '::f' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN ':' || user_id::VARCHAR ELSE '' END END AS scope_label FROM e""",
+    "regime_labels": """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'process v2 git ' || c_nationkey::VARCHAR || ' window 365d'
+  WHEN 1 THEN 'tamper v2 detectors ' || c_nationkey::VARCHAR || ' rules ' || c_mktsegment
+  WHEN 2 THEN 'clones v2 hash min-tokens ' || c_nationkey::VARCHAR || ' window 25 normalization ' || c_nationkey::VARCHAR
+  ELSE 'static v2 spec ' || c_nationkey::VARCHAR || ' grammars [python=' || c_mktsegment || ',rust=' || c_nationkey::VARCHAR || ']' END AS label FROM customer""",
     "excluded_paths": "SELECT p AS path, NOT (p = 'site1.example.com' OR starts_with(p, 'site1.example.com/') OR p = 'site2.example.com') AS kept FROM (SELECT regexp_replace(url, '^https?://', '') AS p FROM pages)",
     "overlay_merge": """
 WITH a AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS b, CASE WHEN c_custkey % 8 <> 0 THEN 'c' || c_mktsegment END AS h FROM customer WHERE c_custkey % 2 = 0),
