@@ -329,7 +329,8 @@ def encode_pieces(docs: DataFrame, model: bytes | None = None, id_col: str = "do
 
     Defined cases: a null or empty text has no pieces and decodes to ''; U+2581
     in a text decodes to a blank, so round_trip is false there; repeated rows
-    give repeated rows. No shuffle."""
+    give repeated rows; a very long text is one slice, searched stretch by
+    stretch; an empty table gives an empty one. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model or load())  # bounded by load()
 
     def work(batch: pa.RecordBatch) -> dict:
