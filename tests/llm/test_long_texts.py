@@ -51,3 +51,13 @@ def test_licenses_and_contamination(spark, docs):
     assert {r.doc_id: r.n_base for r in scan_licenses(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in find_contamination(docs, items).collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_pieces(docs, long_text):
+    import sentencepiece
+
+    from changeloom.llm.piece_fst import PATH, encode_pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = {r.doc_id: list(r.ids) for r in encode_pieces(docs).collect()}
+    assert got[1] == library.encode(long_text) and got[4] == library.encode("x" * 300_000)
