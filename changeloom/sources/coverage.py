@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,9 +71,17 @@ def parse_cobertura(text: str) -> list[tuple[str, int, int]]:
     return [(p, line, n) for (p, line), n in sorted(hits.items())]
 
 
-def cobertura(spark: SparkSession, reports: list[tuple[str, str]]) -> DataFrame:
-    rows = [(name, "cobertura", p, line, n, False) for name, text in reports for p, line, n in parse_cobertura(text)]
-    return spark.createDataFrame(rows, COVERAGE)
+def cobertura(reports: DataFrame) -> DataFrame:
+    """reports(report, text) to (report, format, path, line, hits, degraded), a
+    report at a time."""
+    names = [x.split()[0] for x in COVERAGE.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(name, "cobertura", p, line, n, False) for name, text in zip(part["report"], part["text"], strict=True) for p, line, n in parse_cobertura(text)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return reports.select("report", "text").mapInPandas(run, COVERAGE)
 
 
 def sniff(raw: bytes) -> str:
@@ -104,4 +114,6 @@ def read_reports(spark: SparkSession, folder: str, candidates: list[str] = CANDI
     out = spark.createDataFrame([], COVERAGE)
     if lcovs:
         out = out.union(lcov(spark.createDataFrame(lcovs, "report string, text string")))
-    return (out.union(cobertura(spark, xmls)) if xmls else out), found
+    if xmls:
+        out = out.union(cobertura(spark.createDataFrame(xmls, "report string, text string")))
+    return out, found

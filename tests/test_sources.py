@@ -77,7 +77,7 @@ def test_measure(spark, repo, capsys):
 def test_coverage_reports(spark):
     got = {(r.path, r.line): (r.hits, r.degraded) for r in coverage.lcov(spark.createDataFrame([("l", LCOV)], "report string, text string")).collect()}
     assert got == {("src/a.py", 1): (1, True), ("src/a.py", 2): (3, True), ("b.py", 1): (0, True)}
-    assert [(r.path, r.line, r.hits) for r in coverage.cobertura(spark, [("x", XML)]).orderBy("line").collect()] == [("src/a.py", 1, 2), ("src/a.py", 2, 0)]
+    assert [(r.path, r.line, r.hits) for r in coverage.cobertura(spark.createDataFrame([("x", XML)], "report string, text string")).orderBy("line").collect()] == [("src/a.py", 1, 2), ("src/a.py", 2, 0)]
     with pytest.raises(ValueError):
         coverage.parse_cobertura("<a>" * 70 + "</a>" * 70)
     assert [coverage.sniff(x) for x in (b"<x/>", b"SF:a", b"\xff\xfe", b"hello")] == ["cobertura", "lcov", "unreadable", "unrecognized"]
