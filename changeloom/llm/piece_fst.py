@@ -1,17 +1,17 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 Three machines are compiled from a model file: the normaliser (blanks become
-U+2581, a dummy prefix), the piece acceptor (a trie over characters whose final
-states carry piece ids) and byte fallback (a character outside the vocabulary
-rewrites to its UTF-8 byte pieces). Each input is composed with them, and the
-tropical-semiring shortest path is the encoding.
+U+2581 or are squeezed, a dummy prefix), the pieces (a trie over characters whose
+final arcs carry a piece and its weight) and byte fallback (an arc that rewrites a
+character outside the vocabulary to its UTF-8 byte pieces). Each input is composed
+with them, states being expanded as the search reaches them, and the output of the
+tropical-semiring shortest path is the encoding. One search serves both model types.
 
 Weights. In a unigram model an arc costs minus the piece's log probability. A
 BPE model has no additive score: its merges are reproduced by one more acceptor
 over neighbouring pieces, which costs 0 where the two pieces are the encoding of
 their own concatenation and infinity elsewhere; the path of finite cost is
-unique and is what the merges yield. That acceptor is expanded on demand, as in
-lazy composition.
+unique and is what the merges yield.
 
 No piece has a U+2581 behind another character, so a piece boundary is certain
 before each run of blanks and around characters that no longer piece uses.
@@ -24,6 +24,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from math import inf
 from pathlib import Path
 
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from changeloom.llm.common import blobs, over_texts, texts
 
 SPACE = "▁"
+NO_PIECE = -1
+_RUNS = re.compile(" +|[^ ]+")
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's memo before it starts anew; one older memo is kept.
 MEMO = 400_000
@@ -65,12 +68,13 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceTransducer:
-    """Compiled from the bytes of a model file (unigram or BPE)."""
+    """Compiled from the bytes of a model file (unigram or BPE; model_type reads
+    it as another)."""
 
     UNIGRAM, BPE = 1, 2
     NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, model_type: int | None = None):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -90,39 +94,53 @@ class PieceTransducer:
                 if norm.get(2):
                     raise NotImplementedError("a model with a compiled character map")
                 self.dummy, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
+        self.model_type = model_type or self.model_type
         if self.model_type not in (self.UNIGRAM, self.BPE):
             raise NotImplementedError(f"model type {self.model_type}")
         self.unknown = self.kinds.index(self.UNKNOWN)
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == self.BYTE}
         self.id_of = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (self.NORMAL, self.USER)}
-        self.trie: dict = {}
+        dummy = SPACE if self.dummy else ""
+        #: The normaliser's states, all final: arcs of other characters and of blanks,
+        #: each (output once, output for each character or None for itself, next state).
+        if self.squeeze:
+            self.normaliser = [((dummy, None, 1), ("", "", 0)), (("", None, 1), ("", "", 2)), ((SPACE, None, 1), ("", "", 2))]
+        else:
+            self.normaliser = [((dummy, None, 1), (dummy, SPACE, 1)), (("", None, 1), ("", SPACE, 1))]
+        # A path's arcs cover the stretch, so the same cost added to each character
+        # moves all paths alike; it keeps weights from falling below 0.
+        normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == self.NORMAL]
+        bpe, lift = self.model_type == self.BPE, max(0.0, *normal)
+        self.no_piece = 0.0 if bpe else lift - (min(normal) - 10.0)
+        self.trie: list = [NO_PIECE, 0.0, {}]  # a state: label of its final arc, weight, arcs by character
         for piece, i in self.id_of.items():
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[2].setdefault(c, [NO_PIECE, 0.0, {}])
+            node[:2] = i, 0.0 if bpe else lift * len(piece) - self.scores[i]
+        self.longest = max(map(len, self.id_of))
         joined = {c for p in self.id_of if len(p) > 1 for c in p}
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             self.cuts = None
         else:  # a cut is certain before blanks that follow something, and around these
             alone = "".join(c for c in "\n\t\r" if c not in joined)
             self.cuts = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone or SPACE}]")
-        self.worst = min(s for s, k in zip(self.scores, self.kinds, strict=True) if k == self.NORMAL) - 10.0
         self.memo: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.edges: dict = {}
         self.width = len(self.pieces)
-        self.reach: dict[str, int] = {}  # three first characters -> the longest piece's length
-        for piece in self.id_of:
-            self.reach[piece[:3]] = max(len(piece), self.reach.get(piece[:3], 0))
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+        """Composition of a text with the normaliser, which is deterministic: one
+        path. A run of one class takes its first arc once and then a loop."""
+        out, state, arcs = [], 0, self.normaliser
+        for run in _RUNS.findall(text):
+            first, loop, state = arcs[state][run[0] == " "]
+            if first:
+                out.append(first)
+            out.append(run if loop is None else loop * len(run))
+        return "".join(out)
 
     def merged(self, stretch: str, stop: int = 1) -> list[str]:
         """The merges of a BPE model on a few characters: best score first,
@@ -197,82 +215,58 @@ class PieceTransducer:
             self.pairs[key] = known
         return known
 
-    def arcs(self, stretch: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the arcs that leave a place, shortest first; piece -1
-        is byte fallback, where no piece is that one character."""
+    def arcs(self, stretch: str, at: int) -> list[tuple[int, int, float]]:
+        """(end, label, weight) of the arcs of the piece acceptor and of byte
+        fallback that leave a place, shortest first. A label from 0 is a piece;
+        NO_PIECE rewrites one character to its bytes or the unknown piece."""
         node, far, out = self.trie, at, []
-        for c in stretch[at:]:
-            node = node.get(c)
+        for c in stretch[at : at + self.longest]:
+            node = node[2].get(c)
             if node is None:
                 break
             far += 1
-            piece = node.get("")
-            if piece is not None:
-                out.append((far, piece))
+            if node[0] != NO_PIECE:
+                out.append((far, node[0], node[1]))
         if not out or out[0][0] != at + 1:
-            out.insert(0, (at + 1, -1))
+            out.insert(0, (at + 1, NO_PIECE, self.no_piece))
         return out
 
-    def shortest(self, stretch: str) -> list[int]:
-        """The shortest path of the composition with one stretch."""
-        path = self.only_path(stretch) if self.model_type == self.BPE else self.best_path(stretch)
-        if -1 not in (piece for _, piece in path):
-            return [piece for _, piece in path]
-        out: list[int] = []
-        at = 0
-        for far, piece in path:
-            if piece >= 0:
-                out.append(piece)
-            elif self.fallback:
-                out.extend(self.byte[b] for b in stretch[at:far].encode())
-            else:
-                out.append(self.unknown)
-            at = far
-        return out
+    def rewrite(self, c: str) -> tuple[int, ...]:
+        """What the fallback arc of a character without a piece puts out."""
+        return tuple(self.byte[b] for b in c.encode()) if self.fallback else (self.unknown,)
 
-    def best_path(self, stretch: str) -> list[tuple[int, int]]:
-        """Additive weights: relaxation in the order of places."""
-        n = len(stretch)
-        cost, back = [0.0] + [inf] * n, [(0, -1)] * (n + 1)
-        for at in range(n):
-            if cost[at] < inf:
-                for far, piece in self.arcs(stretch, at):
-                    total = cost[at] - (self.scores[piece] if piece >= 0 else self.worst)
-                    if total < cost[far]:
-                        cost[far], back[far] = total, (at, piece)
-        out, at = [], n
+    def shortest(self, stretch: str) -> list[int]:
+        """Output of the tropical shortest path of the composition with one
+        stretch: shortest first, of equal costs the farthest place, so that with
+        weights 0 and infinity the search is depth first, longest first.
+
+        A state is (place, last label). Without the pair acceptor the last label
+        decides nothing, with it a prefix has one path of finite cost; so each
+        place is settled once."""
+        n, bpe, pairs, width, arcs = len(stretch), self.model_type == self.BPE, self.pairs, self.width, self.arcs
+        settled: dict[int, tuple[int, int]] = {}
+        queue = [(0.0, 0, 0, NO_PIECE)]  # (cost, -place, place before, label)
+        while queue:
+            cost, far, before, label = heappop(queue)
+            at = -far
+            if at in settled:
+                continue
+            if bpe and label >= 0 and at > 0:  # the pair acceptor's weight, asked for when the arc's turn comes
+                last = settled[before][1]
+                if last >= 0 and not (pairs.get(last * width + label) or self.follows(last, label)):
+                    continue
+            settled[at] = before, label
+            if at == n:
+                break
+            for end, label, weight in arcs(stretch, at):
+                if end not in settled:
+                    heappush(queue, (cost + weight, -end, at, label))
+        labels = []
         while at:
-            before, piece = back[at]
-            out.append((at, piece))
+            before, label = settled[at]
+            labels.append((label,) if label >= 0 else self.rewrite(stretch[before:at]))
             at = before
-        return out[::-1]
-
-    def only_path(self, stretch: str) -> list[tuple[int, int]]:
-        """Weights 0 and infinity: the first complete path is a shortest one, so
-        arcs are tried depth first, longest first. A prefix has one path of
-        finite cost at most, so a place that was left is never tried again."""
-        n, at, last = len(stretch), 0, -1
-        of, reach, pairs, width = self.id_of, self.reach, self.pairs, self.width
-        ends = [0] * (n + 1)  # the next end to try; 0 where no path has come
-        path: list[tuple[int, int]] = []
-        while at < n:
-            far = ends[at] or min(n, at + reach.get(stretch[at : at + 3], 2))
-            while far > at:
-                piece = of.get(stretch[at:far])
-                if piece is None:
-                    piece = -1
-                if (piece >= 0 or far == at + 1) and not ends[far] and (last < 0 or piece < 0 or pairs.get(last * width + piece) or self.follows(last, piece)):
-                    break
-                far -= 1
-            if far > at:
-                ends[at] = far - 1 or -1
-                path.append((far, piece))
-                at, last = far, piece
-            else:
-                ends[at] = -1
-                path.pop()
-                at, last = path[-1] if path else (0, -1)
-        return path
+        return [i for out in reversed(labels) for i in out]
 
     def encode(self, text: str) -> list[int]:
         text = self.normalise(text)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 import sentencepiece
@@ -31,8 +32,7 @@ def test_as_the_library_encodes_and_decodes(library):
 
 def test_unigram_weights_against_every_path(library):
     """As a unigram model, the path is the cheapest of all segmentations."""
-    fst = PieceTransducer(load())
-    fst.model_type = fst.UNIGRAM
+    fst = PieceTransducer(load(), PieceTransducer.UNIGRAM)
 
     def cheapest(s):
         if not s:
@@ -44,6 +44,28 @@ def test_unigram_weights_against_every_path(library):
         assert sum(-fst.scores[i] for i in fst.shortest(word)) == pytest.approx(cheapest(word))
 
 
+def test_normaliser_against_its_definition():
+    """The machine's one path against string functions, with and without squeezing."""
+    for squeeze in (True, False):
+        for dummy in (True, False):
+            field = lambda n, v: bytes([n << 3, v])
+            norm = field(3, dummy) + field(4, squeeze)
+            fst = PieceTransducer(load() + bytes([3 << 3 | 2, len(norm)]) + norm)
+            assert (fst.squeeze, fst.dummy) == (squeeze, dummy)
+            for text in odd_texts():
+                want = re.sub(" +", " ", text.strip(" ")) if squeeze else text
+                assert fst.normalise(text) == (("▁" if dummy else "") + want.replace(" ", "▁") if want else "")
+
+
+def test_fallback_is_an_arc(library):
+    """A character without a piece is rewritten on the path, whatever stands around it."""
+    fst = PieceTransducer(load(), PieceTransducer.UNIGRAM)
+    odd = next(c for c in map(chr, range(0xA000, 0xB000)) if c not in fst.id_of)
+    ids = fst.shortest("▁the" + odd + "the")
+    assert ids == [*fst.shortest("▁the"), *(fst.byte[b] for b in odd.encode()), *fst.shortest("the")]
+    assert fst.decode(ids) == "the" + odd + "the"
+
+
 def test_round_trip_on_tables(spark, library):
     rows = corpus(2) + [(None, "no id"), (7, "again"), (7, "again")]
     encoded = encode_pieces(documents(spark, rows))
