@@ -24,6 +24,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import partial
 from heapq import heappop, heappush
 from math import inf
 from pathlib import Path
@@ -215,52 +216,46 @@ class PieceTransducer:
             self.pairs[key] = known
         return known
 
-    def arcs(self, stretch: str, at: int) -> list[tuple[int, int, float]]:
-        """(end, label, weight) of the arcs of the piece acceptor and of byte
-        fallback that leave a place, shortest first. A label from 0 is a piece;
-        NO_PIECE rewrites one character to its bytes or the unknown piece."""
-        node, far, out = self.trie, at, []
-        for c in stretch[at : at + self.longest]:
-            node = node[2].get(c)
-            if node is None:
-                break
-            far += 1
-            if node[0] != NO_PIECE:
-                out.append((far, node[0], node[1]))
-        if not out or out[0][0] != at + 1:
-            out.insert(0, (at + 1, NO_PIECE, self.no_piece))
-        return out
-
     def rewrite(self, c: str) -> tuple[int, ...]:
         """What the fallback arc of a character without a piece puts out."""
         return tuple(self.byte[b] for b in c.encode()) if self.fallback else (self.unknown,)
 
     def shortest(self, stretch: str) -> list[int]:
-        """Output of the tropical shortest path of the composition with one
-        stretch: shortest first, of equal costs the farthest place, so that with
-        weights 0 and infinity the search is depth first, longest first.
-
-        A state is (place, last label). Without the pair acceptor the last label
-        decides nothing, with it a prefix has one path of finite cost; so each
-        place is settled once."""
-        n, bpe, pairs, width, arcs = len(stretch), self.model_type == self.BPE, self.pairs, self.width, self.arcs
-        settled: dict[int, tuple[int, int]] = {}
+        """Output of the tropical shortest path of the composition with one stretch.
+
+        A state is (place, last label); a label from 0 is a piece, NO_PIECE rewrites
+        one character. Without the pair acceptor the last label decides nothing, with
+        it a prefix has one path of finite cost; so each place is settled once. The
+        queue is shortest first, of equal costs the farthest place. Where all weights
+        are 0 or infinity a stack has that order at less cost."""
+        n, bpe, pairs, width, root, longest = len(stretch), self.model_type == self.BPE, self.pairs, self.width, self.trie[2], self.longest
+        settled: list[tuple[int, int] | None] = [None] * (n + 1)
         queue = [(0.0, 0, 0, NO_PIECE)]  # (cost, -place, place before, label)
-        while queue:
-            cost, far, before, label = heappop(queue)
-            at = -far
-            if at in settled:
+        push, pop = (queue.append, queue.pop) if bpe else (partial(heappush, queue), partial(heappop, queue))
+        while True:
+            cost, end, before, label = pop()
+            at = -end
+            if settled[at] is not None:
                 continue
-            if bpe and label >= 0 and at > 0:  # the pair acceptor's weight, asked for when the arc's turn comes
+            if bpe and label >= 0:  # the pair acceptor's weight, asked for when the arc's turn comes
                 last = settled[before][1]
                 if last >= 0 and not (pairs.get(last * width + label) or self.follows(last, label)):
                     continue
             settled[at] = before, label
             if at == n:
                 break
-            for end, label, weight in arcs(stretch, at):
-                if end not in settled:
-                    heappush(queue, (cost + weight, -end, at, label))
+            node = root.get(stretch[at])
+            if node is None or node[0] < 0:
+                push((cost + self.no_piece, end - 1, at, NO_PIECE))
+            arcs = root
+            for c in stretch[at : at + longest]:
+                node = arcs.get(c)
+                if node is None:
+                    break
+                end -= 1
+                label, weight, arcs = node
+                if label >= 0:
+                    push((cost + weight, end, at, label))
         labels = []
         while at:
             before, label = settled[at]
